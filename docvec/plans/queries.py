@@ -668,3 +668,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     if callable(fn) and name[:1] in "tvecx" and name[1:2].isdigit()
 }
 QUERIES["tfidf_top_terms_by_lang"] = tfidf_top_terms_by_lang
+
+SQL["e19_combine"] = f"""WITH g AS {_GRID},
+    nd AS (SELECT count(*) AS n_docs FROM documents),
+    dfq AS (SELECT word, count(DISTINCT doc_id) AS df FROM {_TOKV} GROUP BY word),
+    kc AS (SELECT doc_id, word, count(*) AS n FROM g GROUP BY 1, 2),
+    kw AS (SELECT doc_id, word, n * (ln((n_docs + 1.0) / (df + 1.0)) + 1.0) AS w FROM kc JOIN dfq USING (word), nd),
+    kn AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM kw GROUP BY doc_id),
+    dd AS (SELECT len(embedding) AS d FROM embeddings LIMIT 1),
+    f AS (SELECT g.doc_id, g.sent_no, g.pos AS dim, round(CASE WHEN kn.nrm > 0 THEN kw.w / kn.nrm ELSE 0.0 END, 6) AS f
+          FROM g JOIN kw USING (doc_id, word) JOIN kn USING (doc_id), dd WHERE g.pos < dd.d),
+    st AS (SELECT * FROM {_SENT_TOK} WHERE sent_no < {MAX_SENTS}),
+    wv AS {_WV},
+    lens AS (SELECT doc_id, sent_no, count(*) AS n_words FROM st GROUP BY 1, 2),
+    cnt AS (SELECT doc_id, sent_no, word, count(*) AS n FROM st GROUP BY 1, 2, 3),
+    el AS (SELECT c.doc_id, c.sent_no, c.n AS wgt, unnest(wv.vec) AS x, generate_subscripts(wv.vec, 1) - 1 AS dim
+           FROM cnt c JOIN wv USING (word)),
+    sums AS (SELECT doc_id, sent_no, dim, sum(wgt * x) AS s FROM el GROUP BY 1, 2, 3),
+    dims AS (SELECT range AS dim FROM range(0, (SELECT d FROM dd))),
+    sv AS (SELECT l.doc_id, l.sent_no, dims.dim, coalesce(s.s, 0.0) / greatest(l.n_words, 1) AS v
+           FROM lens l CROSS JOIN dims LEFT JOIN sums s ON s.doc_id = l.doc_id AND s.sent_no = l.sent_no AND s.dim = dims.dim),
+    keep AS (SELECT DISTINCT doc_id, sent_no FROM f)
+    SELECT sv.doc_id, sv.sent_no::BIGINT AS sent_no, round(sum(sv.v + coalesce(f.f, 0.0)), 6) AS sum_add,
+           round(sum(sv.v * coalesce(f.f, 0.0)), 6) AS sum_mul, (2 * max(dd.d))::BIGINT AS n_concat
+    FROM sv JOIN keep USING (doc_id, sent_no) LEFT JOIN f USING (doc_id, sent_no, dim), dd
+    GROUP BY sv.doc_id, sv.sent_no"""
