@@ -1,6 +1,105 @@
-"""Rows-only registered queries: the iterative / learned methods that have
-no SQL twin (they are checked against numpy in the tests)."""
+"""Rows-only registered queries: the iterative / learned methods that have no
+SQL twin (checked against numpy and sense tests in ``tests/``).  Each reads
+the whole given tables."""
 
 from __future__ import annotations
 
-METHOD_QUERIES: dict = {}
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from docvec.operators import wordvec
+from docvec.session import load
+
+
+def _corpus(spark, sf):
+    from docvec.sources.corpus import from_table
+    return from_table(load(spark, sf, "documents"), "doc_id", "text", "lang")
+
+
+def _wv(spark, sf):
+    from docvec.functions.text import preprocess
+    words = load(spark, sf, "documents").select(F.explode(preprocess("text")).alias("word"))
+    return wordvec.derived_word_vectors(words, load(spark, sf, "embeddings")).cache()
+
+
+def _dim(spark, sf):
+    return int(load(spark, sf, "embeddings").select(F.size("embedding")).first()[0])
+
+
+def _long(df):
+    return wordvec.long_vectors(df.select("doc_id", vector_to_array("features").alias("vec")), ["doc_id"])
+
+
+def m_sif_doc_vectors(spark, sf):
+    """E3-E5 with per-document principal-direction removal."""
+    from docvec.operators.embedders import SIF
+    c = _corpus(spark, sf)
+    return _long(SIF(_wv(spark, sf), _dim(spark, sf)).fit(c).transform(c))
+
+
+def m_psif(spark, sf):
+    """K-SVD dictionary, OMP codes, partitioned vectors, PCA."""
+    from docvec.operators.embedders import PSIF
+    c = _corpus(spark, sf)
+    return _long(PSIF(_wv(spark, sf), _dim(spark, sf), n_clusters=40).fit(c).transform(c))
+
+
+def m_ksvd_clusters(spark, sf):
+    """E7/E8 on the embeddings table: dictionary of 40 atoms, hard cluster
+    of every row."""
+    from docvec.operators.linalg import ApproxKSVD
+    e = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    k = ApproxKSVD(40, 10, n_nonzero=20).fit(e, "vec")
+    c = k.transform(e, "vec", "coefs")
+    return c.select("vec_id", (F.array_position("coefs", F.array_max("coefs")) - 1).alias("cluster"))
+
+
+def m_pca(spark, sf):
+    """Centred PCA of the embeddings to 16 components."""
+    from docvec.operators.linalg import CenteredPCA
+    e = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    p = CenteredPCA(16).fit(e, "vec")
+    return wordvec.long_vectors(p.transform(e, "vec", "vec").withColumnRenamed("vec_id", "doc_id"), ["doc_id"])
+
+
+def m_lsa(spark, sf):
+    """LSA, 100 components, 10 power iterations."""
+    from docvec.operators.embedders import LSA
+    c = _corpus(spark, sf)
+    return _long(LSA(k=100, n_iter=10).fit(c).transform(c))
+
+
+def m_lda(spark, sf):
+    """LDA, 100 topics, 10 iterations."""
+    from docvec.operators.embedders import LDA
+    c = _corpus(spark, sf)
+    return _long(LDA(k=100, max_iter=10).fit(c).transform(c))
+
+
+def m_bow_svm_cv(spark, sf):
+    """X2 + C2: 5-fold cross-validation of BOW + linear SVM on the language."""
+    from docvec.plans.runner import build_methods, cross_validate
+    runs, summary, _ = cross_validate(spark, _corpus(spark, sf), {"bow": build_methods()["bow"]}, k=5)
+    return summary
+
+
+def m_tfidf_knn_tt(spark, sf):
+    """X3 + C3: train/test runner (holdout split), TF-IDF + kNN vote."""
+    from docvec.operators.splits import holdout
+    from docvec.plans.runner import build_methods, train_test
+    c = holdout(_corpus(spark, sf), 0.2, 42, "doc_id").withColumn(
+        "split", F.when(F.col("split") == "val", "test").otherwise("train"))
+    runs, summary, _ = train_test(spark, c, {"tfidf": build_methods()["tfidf"]}, repeats=1, classifier="knn")
+    return summary
+
+
+METHOD_QUERIES = {
+    "m_sif_doc_vectors": m_sif_doc_vectors,
+    "m_psif": m_psif,
+    "m_ksvd_clusters": m_ksvd_clusters,
+    "m_pca": m_pca,
+    "m_lsa": m_lsa,
+    "m_lda": m_lda,
+    "m_bow_svm_cv": m_bow_svm_cv,
+    "m_tfidf_knn_tt": m_tfidf_knn_tt,
+}
