@@ -103,3 +103,40 @@ METHOD_QUERIES = {
     "m_bow_svm_cv": m_bow_svm_cv,
     "m_tfidf_knn_tt": m_tfidf_knn_tt,
 }
+
+
+def m_doc2vec_dbow(spark, sf):
+    """E15 + E16: paragraph vectors (bag of words), tag = language, 40 epochs."""
+    from docvec.operators.doc2vec import Doc2Vec
+    c = _corpus(spark, sf)
+    return _long(Doc2Vec(size=100, window=5, negative=10, epochs=40, dm=False).fit(c).transform(c))
+
+
+def m_doc2vec_dm(spark, sf):
+    """E14 + E16: paragraph vectors (distributed memory), 40 epochs."""
+    from docvec.operators.doc2vec import Doc2Vec
+    c = _corpus(spark, sf)
+    return _long(Doc2Vec(size=100, window=5, negative=10, epochs=40, dm=True).fit(c).transform(c))
+
+
+def m_han(spark, sf):
+    """Hierarchical attention encoder, early stop, patience 5."""
+    from docvec.operators.han import HierarchicalAttention
+    c = _corpus(spark, sf)
+    return _long(HierarchicalAttention(_wv(spark, sf), _dim(spark, sf)).fit(c).transform(c))
+
+
+def m_hwan(spark, sf):
+    """HWAN with tf-idf token features merged by 'add', min_delta 0.001."""
+    from docvec.operators.han import HierarchicalAttention
+    c = _corpus(spark, sf)
+    m = HierarchicalAttention(_wv(spark, sf), _dim(spark, sf), features="tfidf", operation="add", min_delta=0.001)
+    return _long(m.fit(c).transform(c))
+
+
+METHOD_QUERIES.update({
+    "m_doc2vec_dbow": m_doc2vec_dbow,
+    "m_doc2vec_dm": m_doc2vec_dm,
+    "m_han": m_han,
+    "m_hwan": m_hwan,
+})
