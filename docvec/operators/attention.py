@@ -28,7 +28,7 @@ def combine(a: Column, b: Column, op: str) -> Column:
 def _pool(df: DataFrame, keys: list, vec_col: str, score: Column, eps: float) -> DataFrame:
     """sum(exp(s) * x) / (sum(exp(s)) + eps) per key: two partial-aggregated sums."""
     e = df.select(*keys, F.exp(score).alias("_a"), F.col(vec_col).alias("_x"))
-    num = vector_sum(e.select(*keys, scale(F.col("_x"), F.col("_a")).alias("_v")), keys, "_v", "_num")
+    num = vector_sum(e, keys, "_x", "_num", "_a")
     den = e.groupBy(*keys).agg(F.sum("_a").alias("_den"))
     return num.join(den, keys).select(*keys, scale(F.col("_num"), 1.0 / (F.col("_den") + F.lit(eps))).alias("vec"))
 

@@ -59,10 +59,17 @@ def scale(vec: Column, w: Column) -> Column:
     return F.transform(vec, lambda x: x * w)
 
 
-def vector_sum(df: DataFrame, keys: list, vec_col: str, out: str = "vec") -> DataFrame:
-    """Element-wise sum of an ARRAY<DOUBLE> column per key (partial agg)."""
-    return df.groupBy(*keys).agg(
-        vector_to_array(Summarizer.sum(array_to_vector(F.col(vec_col)))).alias(out))
+def vector_sum(df: DataFrame, keys: list, vec_col: str, out: str = "vec", weight_col: str | None = None) -> DataFrame:
+    """Element-wise sum of an ARRAY<DOUBLE> column per key, optionally
+    weighted (sum of w * x, w >= 0): one JVM aggregate with partial
+    aggregation, no per-element lambda."""
+    if weight_col:
+        # zero-weight rows add nothing (and a group of only such rows is left out)
+        df = df.filter(F.col(weight_col) > 0)
+        agg = Summarizer.sum(array_to_vector(F.col(vec_col)), F.col(weight_col).cast("double"))
+    else:
+        agg = Summarizer.sum(array_to_vector(F.col(vec_col)))
+    return df.groupBy(*keys).agg(vector_to_array(agg).alias(out))
 
 
 def vector_mean(df: DataFrame, keys: list, vec_col: str, out: str = "vec") -> DataFrame:
@@ -85,8 +92,7 @@ def sentence_vectors(tok: DataFrame, wv: DataFrame, weights: DataFrame | None, d
         wgt = F.coalesce(F.col("weight"), F.lit(1.0)) * F.col("n")
     else:
         wgt = F.col("n").cast("double")
-    sums = vector_sum(j.select(id_col, "sent_no", scale(F.col("vec"), wgt).alias("v")),
-                      [id_col, "sent_no"], "v", "s")
+    sums = vector_sum(j.select(id_col, "sent_no", "vec", wgt.alias("_w")), [id_col, "sent_no"], "vec", "s", "_w")
     zeros = F.array_repeat(F.lit(0.0), dim)
     out = lens.join(sums, [id_col, "sent_no"], "left")
     denom = F.greatest(F.col("n_words"), F.lit(min_len)).cast("double")
