@@ -25,20 +25,43 @@ def combine(a: Column, b: Column, op: str) -> Column:
     raise ValueError(f"unknown features operation {op!r}; expected add, mul or concat")
 
 
-def _pool(df: DataFrame, keys: list, vec_col: str, score: Column, eps: float) -> DataFrame:
-    """sum(exp(s) * x) / (sum(exp(s)) + eps) per key: two partial-aggregated sums."""
-    e = df.select(*keys, F.exp(score).alias("_a"), F.col(vec_col).alias("_x"))
+def _pool(df: DataFrame, keys: list, vec_col: str, score: Column, eps: float,
+          count_col: str | None = None) -> DataFrame:
+    """sum(n exp(s) x) / (sum(n exp(s)) + eps) per key: two partial-aggregated
+    sums (n = multiplicity of the row, 1 without ``count_col``)."""
+    n = F.col(count_col).cast("double") if count_col else F.lit(1.0)
+    e = df.select(*keys, (n * F.exp(score)).alias("_a"), F.col(vec_col).alias("_x"))
     num = vector_sum(e, keys, "_x", "_num", "_a")
     den = e.groupBy(*keys).agg(F.sum("_a").alias("_den"))
     return num.join(den, keys).select(*keys, scale(F.col("_num"), 1.0 / (F.col("_den") + F.lit(eps))).alias("vec"))
 
 
+def identity_score(vec_col: str, dim: int) -> Column:
+    """tanh(x) . u with u = 1/sqrt(d) in every coordinate (W = I, b = 0)."""
+    return F.aggregate(vec_col, F.lit(0.0), lambda acc, x: acc + F.tanh(x)) / F.lit(float(np.sqrt(dim)))
+
+
 def attention_pool_identity(df: DataFrame, keys: list, dim: int, eps: float = ATTENTION_EPS,
                             vec_col: str = "vec") -> DataFrame:
     """E17 with W = I, b = 0 and u = 1/sqrt(d) in every coordinate: a pure
     column-expression score, so the whole pooling stays in the JVM."""
-    s = F.aggregate(vec_col, F.lit(0.0), lambda acc, x: acc + F.tanh(x)) / F.lit(float(np.sqrt(dim)))
-    return _pool(df, keys, vec_col, s, eps)
+    return _pool(df, keys, vec_col, identity_score(vec_col, dim), eps)
+
+
+def bag_attention_pool(counts: DataFrame, scored_words: DataFrame, keys: list, eps: float = ATTENTION_EPS,
+                       word_col: str = "word") -> DataFrame:
+    """E17 over bags of words: the score depends on the word vector only, so
+    it is computed once per distinct word (``scored_words(word, vec, s)``);
+    documents pool with weight n * exp(s).  Unknown words (no vector) count
+    with s = 0 in the normaliser only."""
+    j = counts.join(scored_words, word_col, "left")
+    e = j.select(*keys, (F.col("n").cast("double") * F.exp(F.coalesce("s", F.lit(0.0)))).alias("_a"),
+                 F.col("vec").alias("_x"))
+    num = vector_sum(e.filter(F.col("_x").isNotNull()), keys, "_x", "_num", "_a")
+    den = e.groupBy(*keys).agg(F.sum("_a").alias("_den"))
+    out = den.join(num, keys, "left")
+    return out.select(*keys, "_den", "_num").select(
+        *keys, scale(F.col("_num"), 1.0 / (F.col("_den") + F.lit(eps))).alias("vec"))
 
 
 def attention_scores(W: np.ndarray, b: np.ndarray, u: np.ndarray):

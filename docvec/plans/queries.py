@@ -390,12 +390,14 @@ def e10_partitioned_doc(spark, sf):
 
 
 def e17_attention(spark, sf):
-    from docvec.operators.attention import attention_pool_identity
-    tok = _tokens(spark, sf).select("doc_id", F.explode("tokens").alias("word"))
-    wv = _wv_for(tok.select("word"), spark, sf)
+    from docvec.operators.attention import bag_attention_pool, identity_score
+    counts = vocab.term_counts(_tokens(spark, sf)).withColumnRenamed("term", "word")
+    wv = _wv_for(counts.select("word"), spark, sf)
     d = _dim(spark, sf)
-    look = wordvec.lookup(tok, wv, d)
-    pooled = attention_pool_identity(look, ["doc_id"], d, EPS)
+    scored = wv.withColumn("s", identity_score("vec", d))      # one score per distinct word
+    pooled = bag_attention_pool(counts, scored, ["doc_id"], EPS)
+    z = F.array_repeat(F.lit(0.0), d)                           # documents of unknown words only
+    pooled = pooled.withColumn("vec", F.coalesce("vec", z))
     return wordvec.long_vectors(pooled, ["doc_id"]).select(
         "doc_id", F.col("dim").cast("long").alias("dim"), "value")
 
