@@ -10,6 +10,18 @@ from pyspark.sql.window import Window
 
 from docvec.session import cut_lineage
 
+# Tables with at most this many rows (classes, dictionaries, group starts)
+# are broadcast; bigger ones fall back to a shuffle join.
+SMALL_TABLE_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """Broadcast hint only behind a row-count check (an action on a small,
+    usually cached table); beyond the bound the plain table is returned and
+    Spark shuffles (AQE may still convert at run time)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 # Top-k through TakeOrderedAndProject only up to this k; beyond it the
 # global-rank path is used (its cost does not grow with k * partitions).
 TAKE_ORDERED_MAX_K = 10_000
@@ -82,7 +94,7 @@ def rank_within_group(df: DataFrame, group_col: str, order_cols: list,
     ).select(group_col, F.coalesce("_start", F.lit(0)).alias("_start"))
     # one row per group (classes): the size is checked by the caller's contract
     return (
-        ranked.join(F.broadcast(starts), group_col)
+        ranked.join(checked_broadcast(starts), group_col)
         .withColumn(rank_col, F.col("_g") - F.col("_start"))
         .drop("_g", "_start")
     )

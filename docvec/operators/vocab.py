@@ -11,16 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docvec.operators.ranking import global_rank, top_k
-
-# Word tables at or below this many rows are broadcast; bigger ones are
-# shuffle-joined (AQE still converts at run time when they turn out small).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+from docvec.operators.ranking import checked_broadcast, global_rank, top_k  # noqa: F401
+from docvec.session import cut_lineage
 
 
 def term_counts(df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id") -> DataFrame:
@@ -67,8 +59,12 @@ def restrict(dtm: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def bag_of_words(tokens_df: DataFrame, max_df=1.0, min_df=1, max_features=None,
                  tokens_col: str = "tokens", id_col: str = "doc_id", n_docs: int | None = None):
-    """V1: BOW counts over the pruned vocabulary.  Returns (dtm, vocab)."""
-    dtm = term_counts(tokens_df, tokens_col, id_col)
+    """V1: BOW counts over the pruned vocabulary.  Returns (dtm, vocab).
+
+    The document-term table is read twice (statistics, restriction), so it
+    is materialised once in the shared checkpoint folder instead of
+    tokenising the corpus twice."""
+    dtm = cut_lineage(term_counts(tokens_df, tokens_col, id_col))
     n_docs = n_docs if n_docs is not None else tokens_df.count()
     vocab = prune_vocab(term_stats(dtm), n_docs, max_df, min_df, max_features)
     return restrict(dtm, vocab), vocab
@@ -104,6 +100,7 @@ def word_frequency(tokens_df: DataFrame, tokens_col: str = "tokens") -> DataFram
     """V6: corpus count and probability of every word."""
     cf = tokens_df.select(F.explode(tokens_col).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("cf"))
+    cf = cut_lineage(cf)            # word-sized; read by the total and by every later use
     total = cf.agg(F.sum("cf")).first()[0] or 0
     return cf.withColumn("p", F.col("cf") / F.lit(float(max(total, 1))))
 

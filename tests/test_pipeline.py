@@ -23,11 +23,10 @@ def test_bow_svm_separates_languages(spark, sf):
     from docvec.operators.classify import LinearSVM
     from docvec.operators.embedders import BOW
     from docvec.sources.corpus import from_table
-    from pyspark.ml.functions import vector_to_array
     c = from_table(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", "lang")
     m = BOW().fit(c)
-    x = m.transform(c).join(c.select("doc_id", "target"), "doc_id").withColumn("vec", vector_to_array("features"))
-    pred = LinearSVM(max_iter=25).fit(x, "vec", "target").predict(x, "vec")
+    x = m.transform(c).join(c.select("doc_id", "target"), "doc_id")
+    pred = LinearSVM(max_iter=25).fit(x, "features", "target").predict(x, "features")
     acc = pred.agg(F.avg((F.col("pred") == F.col("target")).cast("double"))).first()[0]
     assert acc > 0.9
 
