@@ -147,7 +147,11 @@ SQL: dict[str, str] = {
 
 # ------------------------------------------------------- V: vocabulary
 def _tokens(spark, sf, **flags):
-    return _docs(spark, sf).select("doc_id", T.preprocess("text", **flags).alias("tokens"))
+    """(doc_id, tokens), tokenised once and materialised in the shared
+    checkpoint folder: the regex pass is the expensive part and most queries
+    read the tokens more than once."""
+    from docvec.session import cut_lineage
+    return cut_lineage(_docs(spark, sf).select("doc_id", T.preprocess("text", **flags).alias("tokens")))
 
 
 def v1_bow(spark, sf):
@@ -203,8 +207,8 @@ def _sent_tok(spark, sf):
     return vocab.sentence_tokens(d, "sents", T.preprocess)
 
 
-def _grid(spark, sf):
-    ids = vocab.word_ids(vocab.word_frequency(_tokens(spark, sf)))
+def _grid(spark, sf, toks=None):
+    ids = vocab.word_ids(vocab.word_frequency(toks if toks is not None else _tokens(spark, sf)))
     return vocab.id_grid_long(_sent_tok(spark, sf), ids, MAX_SENTS, MAX_WORDS)
 
 
@@ -221,7 +225,7 @@ def v9_stat_features(spark, sf):
     n = toks.count()
     stats = vocab.term_stats(vocab.term_counts(toks))
     idf = vocab.idf_table(stats, n)
-    g = _grid(spark, sf)
+    g = _grid(spark, sf, toks)
     kept = g.groupBy("doc_id", F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
     w = vocab.tfidf(kept, idf).withColumnRenamed("term", "word")
     return g.join(w, ["doc_id", "word"]).select(
@@ -353,11 +357,11 @@ def e8_hard_cluster(spark, sf):
     return e.select("vec_id", evaluate.argmax_pred("embedding").cast("long").alias("cluster"))
 
 
-def _psif_word_stats(spark, sf):
+def _psif_word_stats(spark, sf, toks=None):
     """word_stats for the partitioned-vector algebra: vector (stand-in), K
     coefficients (first K entries of the embedding one bucket further),
     smooth idf and the P-SIF weight."""
-    toks = _tokens(spark, sf)
+    toks = toks if toks is not None else _tokens(spark, sf)
     n = toks.count()
     freq = vocab.word_frequency(toks)
     stats = vocab.term_stats(vocab.term_counts(toks)).withColumnRenamed("term", "word")
@@ -382,8 +386,8 @@ def e9_partitioned_word(spark, sf):
 
 def e10_partitioned_doc(spark, sf):
     from docvec.operators.psif import partitioned_doc_vectors
-    ws = _psif_word_stats(spark, sf)
     toks = _tokens(spark, sf)
+    ws = _psif_word_stats(spark, sf, toks)
     counts = vocab.term_counts(toks).withColumnRenamed("term", "word")
     dv = partitioned_doc_vectors(counts, ws, "doc_id")
     return wordvec.long_vectors(dv, ["doc_id"]).select("doc_id", F.col("dim").cast("long").alias("dim"), "value")
