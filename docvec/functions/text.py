@@ -58,8 +58,10 @@ def null_to_empty(col) -> Column:
 
 
 def strip_email(col) -> Column:
-    """Replace e-mail addresses by a space."""
-    return F.regexp_replace(null_to_empty(col), EMAIL_PATTERN, " ")
+    """Replace e-mail addresses by a space (the regex only runs on texts
+    that contain an '@'; a fast substring test skips the rest)."""
+    c = null_to_empty(col)
+    return F.when(c.contains("@"), F.regexp_replace(c, EMAIL_PATTERN, " ")).otherwise(c)
 
 
 def keep_chars(col, alphabet: str = "default") -> Column:
@@ -78,6 +80,8 @@ def clean_for_transformer(col) -> Column:
 
 
 def _split_fused(col: Column) -> Column:
+    # no substring guard here: a guard repeats the nested input expression,
+    # which Spark then evaluates more than once
     for pat, rep in FUSED_WORDS:
         col = F.regexp_replace(col, pat, rep)
     return col
