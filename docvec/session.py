@@ -30,6 +30,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # lineage cuts are transient: delete their files once unreferenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.cleaner.periodicGC.interval", "2min")
         .config("spark.driver.memory", "16g")
         .config("spark.driver.maxResultSize", "4g")
     )
