@@ -126,8 +126,8 @@ def m_han(spark, sf):
     return _long(HierarchicalAttention(_wv(spark, sf), _dim(spark, sf)).fit(c).transform(c))
 
 
-def m_hwan(spark, sf):
-    """HWAN with tf-idf token features merged by 'add', min_delta 0.001."""
+def m_han_features(spark, sf):
+    """HAN with tf-idf token features merged by 'add', min_delta 0.001."""
     from docvec.operators.han import HierarchicalAttention
     c = _corpus(spark, sf)
     m = HierarchicalAttention(_wv(spark, sf), _dim(spark, sf), features="tfidf", operation="add", min_delta=0.001)
@@ -138,5 +138,5 @@ METHOD_QUERIES.update({
     "m_doc2vec_dbow": m_doc2vec_dbow,
     "m_doc2vec_dm": m_doc2vec_dm,
     "m_han": m_han,
-    "m_hwan": m_hwan,
+    "m_han_features": m_han_features,
 })
