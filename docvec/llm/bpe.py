@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from docvec.llm.common import slices, text_rows
 
 LEAF_BYTES = 8           # byte strings up to this length are merged directly
-CACHE_PIECES = 1 << 18   # pieces kept per Python worker, in each of two generations
+CACHE_PIECES = 1 << 17   # pieces kept per Python worker, in each of two generations
+CACHE_SMALL = 1 << 16    # short byte strings and token pairs kept
 DECODE_LEAF = 4096       # ids joined at once at the leaves of the decoding tree
 
 
@@ -89,7 +90,7 @@ class TreeEncoder:
     def small(self, data: bytes) -> tuple:
         got = self._small.get(data)
         if got is None:
-            if len(self._small) >= CACHE_PIECES:
+            if len(self._small) >= CACHE_SMALL:
                 self._small.clear()
             got = self._small[data] = self.merge(data)
         return got
@@ -99,7 +100,7 @@ class TreeEncoder:
         """Whether the two tokens are the encoding of their joined bytes."""
         got = self._pairs.get((a, b))
         if got is None:
-            if len(self._pairs) >= CACHE_PIECES:
+            if len(self._pairs) >= CACHE_SMALL:
                 self._pairs.clear()
             got = self._pairs[(a, b)] = self.merge(self.tokens[a] + self.tokens[b]) == (a, b)
         return got

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Bytes of text that one slice of an Arrow batch holds at most (a single
 # longer text makes a slice of its own).
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
