@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm import bpe, chat, html, langid, quality, simhash, topk
+from docvec.llm import bpe, chat, editing, html, langid, mixing, quality, simhash, topk
 from docvec.llm.common import table
 from docvec.session import cut_lineage
 
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of each document."""
+    return mixing.taken(mixing.plan(table(spark, sf_dir, "documents")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 4-word shingles, 4 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
@@ -43,6 +48,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return editing.compare_next(table(spark, sf_dir, "documents"), share=4)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -85,7 +95,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_html": op5_html,
-    "op7_langid": op7_langid, "op9_topk": op9_topk, "op10_quality": op10_quality,
+    "op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_html": op5_html,
+    "op6_fingerprint": op6_fingerprint, "op7_langid": op7_langid, "op9_topk": op9_topk, "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {"op9_topk": OP9_SQL}
