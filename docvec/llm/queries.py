@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm import bpe, chat, editing, html, langid, mixing, quality, simhash, topk
+from docvec.llm import bpe, chat, editing, html, langid, mixing, quality, runindex, simhash, topk
 from docvec.llm.common import table
 from docvec.session import cut_lineage
 
@@ -60,6 +60,14 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte strings that start in an earlier one."""
+    found = runindex.repeated_spans(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best partners of each vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -96,6 +104,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_html": op5_html,
-    "op6_fingerprint": op6_fingerprint, "op7_langid": op7_langid, "op9_topk": op9_topk, "op10_quality": op10_quality,
+    "op6_fingerprint": op6_fingerprint, "op7_langid": op7_langid, "op8_repeats": op8_repeats, "op9_topk": op9_topk,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {"op9_topk": OP9_SQL}
