@@ -115,13 +115,14 @@ def _suffix(key: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Models:
     """Per order n (1 to ORDER): sorted hashes of n-grams, log probability and
-    log back-off weight (as a context) of each in each language."""
+    log back-off weight (as a context) of each in each language.  ``floor`` is
+    each language's log probability of a character that no language knows."""
 
     languages: list[str]
     hashes: list[np.ndarray]
     logp: list[np.ndarray]
     back: list[np.ndarray]
-    floor: float
+    floor: np.ndarray
     bounds: np.ndarray
 
     def _find(self, n: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +133,7 @@ class Models:
     def score(self, key: np.ndarray, n: int = ORDER) -> np.ndarray:
         """Log probability of the last character of each n-gram in each language."""
         if n == 0:
-            return np.full((len(key), len(self.languages)), self.floor, np.float32)
+            return np.broadcast_to(self.floor, (len(key), len(self.languages)))
         at, hit = self._find(n, key)
         out = self.logp[n - 1][at]
         miss = np.flatnonzero(~hit)
@@ -222,7 +223,9 @@ def merge_models(models: dict[str, list[dict]]) -> Models:
         logp.append(np.stack([np.log(_value(models[x], keys, n)) for x in languages], 1).astype(np.float32))
         if n < ORDER:
             back.append(np.stack([np.log(_weight(models[x], keys, n + 1)) for x in languages], 1).astype(np.float32))
-    return Models(languages, hashes, logp, back, float(np.log(1 / 65536)), np.full(len(languages), np.inf))
+    none = np.zeros(1, np.uint64)
+    floor = np.array([np.log(_weight(models[x], none, 1)[0] / 65536) for x in languages], np.float32)
+    return Models(languages, hashes, logp, back, floor, np.full(len(languages), np.inf))
 
 
 # -- Spark --------------------------------------------------------------------------

@@ -70,7 +70,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
         x, h, m, k = out[todo], half[todo], mask[todo], key[todo]
         left, right = x >> h, x & m
         for round_ in range(1, 5):
-            turn = _mixed(right ^ k ^ (np.uint64(round_) * np.uint64(0x9E3779B97F4A7C15)))
+            turn = _mixed(right ^ k ^ np.uint64(round_ * 0x9E3779B97F4A7C15 % 2**64))
             left, right = right, left ^ (turn & m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= size[todo]]

@@ -218,7 +218,7 @@ def fit(x: DataFrame, labels: DataFrame, train: str, id_col: str = "doc_id",
     if n > TRAIN_ROWS:  # a little under the bound, as a hash cannot draw an exact number
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(0.95e6 * TRAIN_ROWS / n))
     found = rows.select("doc_id", "x", "y").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    return boost(np.array(found["x"].tolist(), np.float64).reshape(len(found), -1), found["y"].to_numpy(np.float64))
+    return boost(np.array(found["x"].tolist(), np.float64).reshape(len(found), len(FEATURES)), found["y"].to_numpy(np.float64))
 
 
 def score(x: DataFrame, model: Additive) -> DataFrame:
@@ -226,6 +226,6 @@ def score(x: DataFrame, model: Additive) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(values: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array(values.tolist(), np.float64).reshape(len(values), -1)))
+        return pd.Series(model.score(np.array(values.tolist(), np.float64).reshape(len(values), len(FEATURES))))
 
     return x.select("doc_id", scored("x").alias("score"))
