@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from docvec.llm.common import slices, text_rows
 
 LEAF_BYTES = 8           # byte strings up to this length are merged directly
-CACHE_PIECES = 1 << 17   # pieces kept per Python worker, in each of two generations
-CACHE_SMALL = 1 << 16    # short byte strings and token pairs kept
+CACHE_PIECES = 1 << 18   # pieces kept per Python worker, in each of two generations
+CACHE_SMALL = 1 << 17    # short byte strings and token pairs kept
 DECODE_LEAF = 4096       # ids joined at once at the leaves of the decoding tree
 
 
