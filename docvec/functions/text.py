@@ -87,22 +87,6 @@ def _split_fused(col: Column) -> Column:
     return col
 
 
-def _token_strip(arr: Column, keep_marks: bool = False) -> Column:
-    non_letters = TOKEN_NON_LETTERS_KEEP_MARKS if keep_marks else TOKEN_NON_LETTERS
-    return F.transform(
-        arr,
-        lambda w: F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(w, TOKEN_NEG_SUFFIX, ""), TOKEN_CLITIC, ""),
-            non_letters,
-            "",
-        ),
-    )
-
-
-def _token_cleanup(arr: Column, keep_marks: bool = False) -> Column:
-    return F.filter(_token_strip(arr, keep_marks), lambda w: F.length(w) > 1)
-
-
 def _strip_text(t: Column, keep_marks: bool = False) -> Column:
     """The per-token removals applied to the whole space-separated string at
     once (same result: every pattern is anchored at a token end and never

@@ -48,10 +48,10 @@ def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank") -> Data
         running += int(r["c"])
     if not delta:
         return s.drop("_pid", "_mid").withColumn(rank_col, F.lit(None).cast("long"))
-    m = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in delta]), F.array(*[F.lit(v).cast("long") for v in delta.values()])
-    )
-    return s.withColumn(rank_col, F.col("_mid") + F.element_at(m, F.col("_pid")) + 1).drop("_pid", "_mid")
+    # offsets in an array indexed by partition id: one look-up per row, whatever the partition count
+    offsets = ", ".join(f"{delta.get(i, 0)}L" for i in range(max(delta) + 1))
+    offset = F.element_at(F.expr(f"array({offsets})"), F.col("_pid") + 1)
+    return s.withColumn(rank_col, F.col("_mid") + offset + 1).drop("_pid", "_mid")
 
 
 def top_k(df: DataFrame, k: int, order_cols: list, rank_col: str | None = None) -> DataFrame:

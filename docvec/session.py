@@ -73,11 +73,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (HDFS / object store) folder and
-    is used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered."""
+    is used as is.  Only a local master, whose executors share the driver's
+    disk, gets a scratch folder of its own when it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="docvec-ckpt-", dir=os.environ.get("DOCVEC_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
@@ -87,6 +89,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, by the file system of its own scheme."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives the loss
     of executors, unlike a local checkpoint)."""
@@ -100,6 +108,5 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     for n in names:
-        p = f"{sf_dir.rstrip('/')}/{n}.parquet"
-        if os.path.exists(p):
+        if path_exists(spark, f"{sf_dir.rstrip('/')}/{n}.parquet"):
             load(spark, sf_dir, n).createOrReplaceTempView(n)

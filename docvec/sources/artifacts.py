@@ -3,35 +3,38 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-MARKER = "_DOCVEC_ARTIFACT.json"
+from docvec.session import path_exists
 
+META = "params"
 
-def save_artifact(path: str, params: dict, tables: dict[str, DataFrame] | None = None,
+
+def _at(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}/{name}"
+
+
+def save_artifact(spark: SparkSession, path: str, params: dict, tables: dict[str, DataFrame] | None = None,
                   models: dict | None = None) -> None:
-    """Parameters as JSON, word/vocabulary tables as parquet, Spark ML
-    models by their own writer; the marker file is written last."""
-    os.makedirs(path, exist_ok=True)
+    """Tables as parquet, Spark ML models by their own writer, parameters as
+    one JSON line, written last.  All by Spark, so any file system serves."""
     for name, df in (tables or {}).items():
-        df.write.mode("overwrite").parquet(os.path.join(path, name))
+        df.write.mode("overwrite").parquet(_at(path, name))
     for name, m in (models or {}).items():
-        m.write().overwrite().save(os.path.join(path, name))
-    with open(os.path.join(path, MARKER), "w") as f:
-        json.dump({"params": params, "tables": sorted(tables or {}), "models": sorted(models or {})}, f)
+        m.write().overwrite().save(_at(path, name))
+    meta = json.dumps({"params": params, "tables": sorted(tables or {}), "models": sorted(models or {})})
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(_at(path, META))
 
 
-def can_load(path: str) -> bool:
-    return os.path.isfile(os.path.join(path, MARKER))
+def can_load(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, _at(path, f"{META}/_SUCCESS"))
 
 
 def load_artifact(spark: SparkSession, path: str, model_loaders: dict | None = None):
-    with open(os.path.join(path, MARKER)) as f:
-        meta = json.load(f)
-    tables = {n: spark.read.parquet(os.path.join(path, n)) for n in meta["tables"]}
-    models = {n: model_loaders[n].load(os.path.join(path, n)) for n in meta["models"] if model_loaders}
+    meta = json.loads(spark.read.text(_at(path, META)).first()[0])
+    tables = {n: spark.read.parquet(_at(path, n)) for n in meta["tables"]}
+    models = {n: model_loaders[n].load(_at(path, n)) for n in meta["models"] if model_loaders}
     return meta["params"], tables, models
 
 
@@ -46,6 +49,6 @@ def load_word_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def write_results(runs: DataFrame, report: DataFrame | None, path: str) -> None:
     """runs(method, run, accuracy, train_seconds) and the class report."""
-    runs.write.mode("append").parquet(os.path.join(path, "runs"))
+    runs.write.mode("append").parquet(_at(path, "runs"))
     if report is not None:
-        report.write.mode("append").parquet(os.path.join(path, "class_report"))
+        report.write.mode("append").parquet(_at(path, "class_report"))

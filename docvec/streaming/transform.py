@@ -5,13 +5,12 @@ look-ups, SIF / P-SIF / attention document vectors) is stateless per
 document, so the same DataFrame code runs on a streaming DataFrame.  This
 module wires a parquet folder stream through a fitted embedder into a sink;
 ``foreachBatch`` lets embedders whose transform uses grouped pandas steps
-run per micro-batch with exactly-once file output (checkpoint location in
-the shared checkpoint folder)."""
+run per micro-batch.  A batch owns one folder of the output and overwrites
+it, so a batch that is run again after a failure leaves its rows once
+(checkpoint location in the shared checkpoint folder)."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +27,10 @@ def embed_stream(stream: DataFrame, model, out_path: str, name: str = "docvec_st
     """Write (doc_id, vec) of every micro-batch to parquet; returns the query."""
     from pyspark.ml.functions import vector_to_array
 
-    ckpt = os.path.join(ensure_checkpoint_dir(stream.sparkSession), f"stream-{name}")
+    ckpt = f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{name}"
 
     def batch(df: DataFrame, epoch: int) -> None:
         out = model.transform(df).select("doc_id", vector_to_array("features").alias("vec"))
-        out.withColumn("batch", F.lit(epoch)).write.mode("append").parquet(out_path)
+        out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt).queryName(name).start()

@@ -71,12 +71,12 @@ def test_csv_and_folder_sources(spark):
         for cls in ("sport", "arts"):
             os.makedirs(os.path.join(root, split, cls))
             with open(os.path.join(root, split, cls, "1.txt"), "wb") as f:
-                f.write(f"{cls} caf\xc3\xa9".encode("latin-1") if False else f"{cls} caf".encode() + b"\xc3\xa9")
+                f.write(f"{cls} \xe9caf".encode("latin-1") + "é".encode())  # a Latin-1 byte, then UTF-8
     s = read_split_folder_corpus(spark, root).collect()
     assert {(r["class_name"], r["target"]) for r in s} == {("arts", 0), ("sport", 1)}
-    assert all(r["text"].endswith("caf") for r in s)          # us-ascii: non-ASCII dropped
+    assert all(r["text"] == f"{r['class_name']} caf" for r in s)     # us-ascii: other bytes left out
     u = read_folder_corpus(spark, os.path.join(root, "training"), "utf-8").collect()
-    assert all(r["text"].endswith("café") for r in u)
+    assert all(r["text"] == f"{r['class_name']} café" for r in u)    # utf-8: what is not UTF-8 is left out
 
 
 def test_word_vector_file(spark):
@@ -93,11 +93,11 @@ def test_word_vector_file(spark):
 def test_artifact_round_trip(spark):
     from docvec.sources.artifacts import can_load, load_artifact, save_artifact
     d = os.path.join(tempfile.mkdtemp(prefix="docvec-art-"), "m")
-    assert not can_load(d)
+    assert not can_load(spark, d)
     t = spark.createDataFrame([("a", 1)], "term string, id long")
-    save_artifact(d, {"max_df": 0.95}, {"vocab": t})
+    save_artifact(spark, d, {"max_df": 0.95}, {"vocab": t})
     params, tables, _ = load_artifact(spark, d)
-    assert can_load(d) and params == {"max_df": 0.95} and tables["vocab"].count() == 1
+    assert can_load(spark, d) and params == {"max_df": 0.95} and tables["vocab"].count() == 1
 
 
 def test_embed_with_stub_model(spark, sf):
