@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from docvec.llm.common import slices, text_rows
 
 LEAF_BYTES = 8           # byte strings up to this length are merged directly
-CACHE_PIECES = 1 << 18   # pieces kept per Python worker, in each of two generations
-CACHE_SMALL = 1 << 17    # short byte strings and token pairs kept
+CACHE_PIECES = 1 << 17   # pieces kept per Python worker, in each of two generations
+CACHE_SMALL = 1 << 16    # short byte strings and token pairs kept
+SLICE_BYTES = 2 << 20   # text handled at once
 DECODE_LEAF = 4096       # ids joined at once at the leaves of the decoding tree
 
 
@@ -179,7 +180,7 @@ def encode_documents(docs: DataFrame, vocab: str, pattern: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab, pattern)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             ids = [enc.encode(t.decode("utf-8", "replace")) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -194,7 +195,7 @@ def decode_documents(tokens: DataFrame, vocab: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab, pattern)
-        for part in slices(batches, "ids"):
+        for part in slices(batches, "ids", SLICE_BYTES):
             out = [enc.decode(x or b"") for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
