@@ -33,7 +33,7 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
+def slices(batches: Iterable[pa.RecordBatch], text: str | int = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of about ``limit`` bytes of the column ``text``."""
     for batch in batches:

@@ -26,7 +26,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -370,14 +369,12 @@ def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text
 def accepted(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are rejected; one narrow pass."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def kept(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in series:
-            out = []
-            for part in slices([pa.record_batch({"text": pa.array(texts, pa.binary())})], limit=SLICE_BYTES):
-                out.append(~decide(sent.value, part.column("text").to_pylist())[3])
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], at, SLICE_BYTES):
+                texts = [(t or "").encode("utf-8", "replace") for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(~decide(sent.value, texts)[3]))
 
-    text = F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.where(kept(text))
+    return docs.mapInArrow(run, docs.schema)
