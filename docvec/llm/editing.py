@@ -37,8 +37,8 @@ from docvec.session import cut_lineage
 DIGITS = 256            # sampled steps of a fingerprint, at most about
 STEPS_PER_CHAR = 3      # length of a walk
 PERIOD = 1 << 12        # steps after which the walk's random bits repeat
-PARTITION_CHARS = 16 << 20
-BATCH_BYTES = 8 << 20   # text whose walks are made together
+PARTITION_CHARS = 3 << 20
+BATCH_BYTES = 4 << 20   # text whose walks are made together
 LEVELS = 40
 
 
