@@ -41,7 +41,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3               # a source is taken this many times at most
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096    # block slots of a shard, on average
-BUCKET_ROWS = 4096    # rows, about, whose offsets one window sums
+BUCKET_ROWS = 256     # rows, about, whose offsets one window sums
 GROUP_SHARDS = 256    # shards among which one draw deals
 FRAME_SLOTS = 1 << 17 # slots that a task makes at a time
 
@@ -129,8 +129,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block_words:
     """What the mix takes of ``docs``; weights repeat over the sources in code
     point order, null last."""
     sized = cut_lineage(_sized(docs, id_col, text_col, source_col))
-    count = sized.count()
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     ranked = global_rank(per_source, [F.col("source").asc_nulls_last()], "sid")
     weight = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("weight", F.element_at(weight, (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int")))
@@ -142,12 +141,12 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block_words:
         targets(ranked, cap).withColumn("blocks", blocks.cast("long"))
         .withColumn("slots", F.when(F.col("source_size") > 0, slots).otherwise(0).cast("long"))
         .withColumn("key", F.xxhash64(F.coalesce("source", F.lit("\x00")), F.lit(seed)))
-        .select("sid", "source", "source_size", "target", "blocks", "slots", "key"))
+        .withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS))
+        .select("sid", "source", "source_size", "target", "blocks", "slots", "key", "buckets"))
 
     # offsets: running sums in (source, bucket), then over the buckets' totals
-    buckets = max(1, -(-count // BUCKET_ROWS))
-    rows = sized.join(sources.select("sid", "source"), sized["source"].eqNullSafe(sources["source"])).drop("source")
-    rows = rows.withColumn("bucket", F.pmod("k1", F.lit(buckets)))
+    rows = sized.join(sources.select("sid", "source", "buckets"), sized["source"].eqNullSafe(sources["source"]))
+    rows = rows.drop("source").withColumn("bucket", F.pmod("k1", F.col("buckets"))).drop("buckets")
     within = Window.partitionBy("sid", "bucket").orderBy("doc_id", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select(
