@@ -5,10 +5,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.operators.wordvec import scale, vector_sum
+from docvec.operators.wordvec import scale
+from docvec.session import cut_lineage
 
 # The pooling epsilon of the reference layer.
 ATTENTION_EPS = 1e-7
@@ -30,10 +33,14 @@ def _pool(df: DataFrame, keys: list, vec_col: str, score: Column, eps: float,
     """sum(n exp(s) x) / (sum(n exp(s)) + eps) per key: two partial-aggregated
     sums (n = multiplicity of the row, 1 without ``count_col``)."""
     n = F.col(count_col).cast("double") if count_col else F.lit(1.0)
-    e = df.select(*keys, (n * F.exp(score)).alias("_a"), F.col(vec_col).alias("_x"))
-    num = vector_sum(e, keys, "_x", "_num", "_a")
-    den = e.groupBy(*keys).agg(F.sum("_a").alias("_den"))
-    return num.join(den, keys).select(*keys, scale(F.col("_num"), 1.0 / (F.col("_den") + F.lit(eps))).alias("vec"))
+    return _ratio(df.select(*keys, (n * F.exp(score)).alias("_a"), F.col(vec_col).alias("_x")), keys, eps)
+
+
+def _ratio(e: DataFrame, keys: list, eps: float) -> DataFrame:
+    """sum(a x) / (sum(a) + eps) per key, both sums in one aggregation."""
+    sums = e.groupBy(*keys).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("_x"), F.col("_a"))).alias("_num"), F.sum("_a").alias("_den"))
+    return sums.select(*keys, scale(F.col("_num"), 1.0 / (F.col("_den") + F.lit(eps))).alias("vec"))
 
 
 def identity_score(vec_col: str, dim: int) -> Column:
@@ -54,14 +61,15 @@ def bag_attention_pool(counts: DataFrame, scored_words: DataFrame, keys: list, e
     it is computed once per distinct word (``scored_words(word, vec, s)``);
     documents pool with weight n * exp(s).  Unknown words (no vector) count
     with s = 0 in the normaliser only."""
-    j = counts.join(scored_words, word_col, "left")
+    table = cut_lineage(scored_words.select(word_col, "vec", "s"))
+    d = table.select(F.size("vec")).first()
+    if d is None:
+        return counts.select(*keys).distinct().withColumn("vec", F.lit(None).cast("array<double>"))
+    j = counts.join(table, word_col, "left")
+    zeros = F.array_repeat(F.lit(0.0), d[0])
     e = j.select(*keys, (F.col("n").cast("double") * F.exp(F.coalesce("s", F.lit(0.0)))).alias("_a"),
-                 F.col("vec").alias("_x"))
-    num = vector_sum(e.filter(F.col("_x").isNotNull()), keys, "_x", "_num", "_a")
-    den = e.groupBy(*keys).agg(F.sum("_a").alias("_den"))
-    out = den.join(num, keys, "left")
-    return out.select(*keys, "_den", "_num").select(
-        *keys, scale(F.col("_num"), 1.0 / (F.col("_den") + F.lit(eps))).alias("vec"))
+                 F.coalesce("vec", zeros).alias("_x"))
+    return _ratio(e, keys, eps)
 
 
 def attention_scores(W: np.ndarray, b: np.ndarray, u: np.ndarray):

@@ -66,10 +66,21 @@ def bag_of_words(tokens_df: DataFrame, max_df=1.0, min_df=1, max_features=None,
     tokenising the corpus twice."""
     dtm = cut_lineage(term_counts(tokens_df, tokens_col, id_col))
     n_docs = n_docs if n_docs is not None else tokens_df.count()
-    vocab = prune_vocab(term_stats(dtm), n_docs, max_df, min_df, max_features)
+    # materialised: Spark can split a hot term in a join with a table, not with a grouping by that term
+    vocab = cut_lineage(prune_vocab(term_stats(dtm), n_docs, max_df, min_df, max_features))
     return restrict(dtm, vocab), vocab
 
 
+def weighted_terms(tokens_df: DataFrame, max_df=1.0, min_df=1, max_features=None, tokens_col: str = "tokens",
+                   id_col: str = "doc_id", n_docs: int | None = None) -> DataFrame:
+    """V4 from tokens: one join of the counts with the pruned, materialised
+    (term, idf) table does the restriction and the weighting."""
+    dtm = cut_lineage(term_counts(tokens_df, tokens_col, id_col))
+    n_docs = n_docs if n_docs is not None else tokens_df.count()
+    vocab = prune_vocab(term_stats(dtm), n_docs, max_df, min_df, max_features)
+    return tfidf(dtm, cut_lineage(idf_table(vocab, n_docs)), id_col)
+
+
 def idf_table(vocab: DataFrame, n_docs: int, smooth: bool = True) -> DataFrame:
     """idf = ln((1+n)/(1+df)) + 1 (smooth), ln(n/df) + 1 otherwise."""
     if smooth:
@@ -81,19 +92,18 @@ def idf_table(vocab: DataFrame, n_docs: int, smooth: bool = True) -> DataFrame:
 
 def tfidf(dtm: DataFrame, idf: DataFrame | None, id_col: str = "doc_id", norm: str | None = "l2") -> DataFrame:
     """V4/V5: weight = n * idf (idf=None: plain tf), L2-normalised per doc.
-    The document norm is a grouped sum joined back on the document key."""
+    The document norm is a window sum over the document's terms, so the join is
+    evaluated once."""
     if idf is not None:
         w = dtm.join(idf, "term").select(id_col, "term", (F.col("n") * F.col("idf")).alias("w"))
     else:
         w = dtm.select(id_col, "term", F.col("n").cast("double").alias("w"))
     if norm != "l2":
         return w
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return (
-        w.join(norms, id_col)
-        .select(id_col, "term",
-                F.when(F.col("_norm") > 0, F.col("w") / F.col("_norm")).otherwise(F.lit(0.0)).alias("w"))
-    )
+    # one document per window: at most its distinct terms
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return w.withColumn("_norm", length).select(
+        id_col, "term", F.when(F.col("_norm") > 0, F.col("w") / F.col("_norm")).otherwise(F.lit(0.0)).alias("w"))
 
 
 def word_frequency(tokens_df: DataFrame, tokens_col: str = "tokens") -> DataFrame:

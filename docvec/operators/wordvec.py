@@ -12,6 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docvec.session import cut_lineage
+
 # Smoothing constants of the two SIF variants.
 SIF_A = 1e-4
 PSIF_A = 0.01
@@ -85,19 +87,25 @@ def sentence_vectors(tok: DataFrame, wv: DataFrame, weights: DataFrame | None, d
 
     ``tok`` is the long token table (doc_id, sent_no, pos, word)."""
     counts = tok.groupBy(id_col, "sent_no", "word").agg(F.count(F.lit(1)).alias("n"))
-    lens = counts.groupBy(id_col, "sent_no").agg(F.sum("n").alias("n_words"))
-    j = counts.join(wv, "word")
-    if weights is not None:
-        j = j.join(weights.select("word", "weight"), "word", "left")
-        wgt = F.coalesce(F.col("weight"), F.lit(1.0)) * F.col("n")
-    else:
-        wgt = F.col("n").cast("double")
-    sums = vector_sum(j.select(id_col, "sent_no", "vec", wgt.alias("_w")), [id_col, "sent_no"], "vec", "s", "_w")
+    j = counts.join(word_table(wv, weights), "word", "left")
+    # unknown words add a zero vector and count in the length
     zeros = F.array_repeat(F.lit(0.0), dim)
-    out = lens.join(sums, [id_col, "sent_no"], "left")
+    wgt = F.coalesce(F.col("weight"), F.lit(1.0)) * F.col("n")
+    sums = j.groupBy(id_col, "sent_no").agg(
+        F.sum("n").alias("n_words"),
+        vector_to_array(Summarizer.sum(array_to_vector(F.coalesce("vec", zeros)), wgt.cast("double"))).alias("s"))
     denom = F.greatest(F.col("n_words"), F.lit(min_len)).cast("double")
-    return out.select(id_col, "sent_no", "n_words",
-                      scale(F.coalesce(F.col("s"), zeros), 1.0 / denom).alias("vec"))
+    return sums.select(id_col, "sent_no", "n_words", scale(F.col("s"), 1.0 / denom).alias("vec"))
+
+
+def word_table(wv: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """(word, vec, weight) of the words with a vector, materialised: token
+    counts then need one join with a plain table, in which Spark can split the
+    rows of a hot word.  Words without a weight weigh 1 (p = 0)."""
+    if weights is None:
+        return cut_lineage(wv.select("word", "vec", F.lit(1.0).alias("weight")))
+    w = wv.join(weights.select("word", "weight"), "word", "left")
+    return cut_lineage(w.select("word", "vec", F.coalesce("weight", F.lit(1.0)).alias("weight")))
 
 
 def doc_average(sent_vecs: DataFrame, id_col: str = "doc_id", vec_col: str = "vec") -> DataFrame:

@@ -177,9 +177,7 @@ def v3_top_terms(spark, sf):
 def _raw_tfidf(spark, sf):
     d = _docs(spark, sf)
     toks = d.select("doc_id", T.remove_words(T.vectorizer_terms("text"), ENGLISH_STOP_WORDS).alias("tokens"))
-    n = d.count()
-    dtm, voc = vocab.bag_of_words(toks, MAX_DF, MIN_DF, n_docs=n)
-    return vocab.tfidf(dtm, vocab.idf_table(voc, n), "doc_id"), d
+    return vocab.weighted_terms(toks, MAX_DF, MIN_DF, n_docs=d.count()), d
 
 
 def v4_tfidf(spark, sf):
