@@ -202,3 +202,19 @@ def decode_documents(tokens: DataFrame, vocab: str, pattern: str) -> DataFrame:
 
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(
         run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded binary): encoding and decoding of the ids
+    it gives in one pass, which takes one Python worker a task instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocab, pattern)
+        for part in slices(batches, limit=SLICE_BYTES):
+            ids = [enc.encode(t.decode("utf-8", "replace")) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                 pa.array([enc.decode(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    return text_rows(docs, id_col, text_col).mapInArrow(
+        run, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -16,8 +16,7 @@ VOCAB = "byte_bpe_multi_50k.tiktoken"
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     vocab, pattern = public_tokenizers.path(VOCAB), public_tokenizers.PATTERN
-    tokens = bpe.encode_documents(table(spark, sf_dir, "documents"), vocab, pattern)
-    return bpe.decode_documents(tokens, vocab, pattern).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocab, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
