@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvec.llm.common import column
+from docvec.llm.common import bounded, column
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = re.compile(r"<\|im_(?:start|end)\|>")
@@ -108,7 +108,7 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     """(conv_id, turn, role, text, segment, mask_start, mask_end): the formatted
     segment of each turn and the loss span in it (null but for assistants).
     One narrow pass."""
-    rows = conversations.select(
+    rows = bounded(conversations).select(
         column(conv_col).cast("long").alias("conv_id"), column(turn_col).cast("long").alias("turn"),
         F.coalesce(column(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))

@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+# Bytes of an Arrow batch that Spark hands to a Python worker (its own default is 64 MB, held several times over).
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends rows to Python in batches of
+    about BATCH_BYTES, so that a worker's memory does not follow the rows'."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -27,7 +38,7 @@ def column(name: str) -> Column:
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text binary): the only columns an operator reads, so
     extra columns can neither clash nor travel.  A null text is empty."""
-    return docs.select(
+    return bounded(docs).select(
         column(id_col).cast("long").alias("doc_id"),
         F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )

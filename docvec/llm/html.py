@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvec.llm.common import column, slices
+from docvec.llm.common import bounded, column, slices
 
 SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "title", "head",
            "select", "textarea", "button", "option", "canvas", "audio", "video"}
@@ -272,7 +272,7 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars long) of every whole page; one narrow pass."""
-    rows = pages.select(
+    rows = bounded(pages).select(
         column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"),
         F.coalesce(column(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
 

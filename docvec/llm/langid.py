@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.llm.common import column, slices, text_rows
+from docvec.llm.common import bounded, column, slices, text_rows
 
 ORDER = 4
 SPACE, START = 0x20, 0x01
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Models learned from all rows with a language that are not held out.
     Counts cover every training text; the model keeps each language's most
     frequent n-grams within MAX_TYPES and MODEL_CELLS."""
-    train = docs.where(column(lang_col).isNotNull() & ~held_out(id_col)).select(
+    train = bounded(docs).where(column(lang_col).isNotNull() & ~held_out(id_col)).select(
         column(lang_col).cast("string").alias("lang"),
         F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
         F.xxhash64(column(id_col)).alias("draw"))
@@ -377,4 +377,4 @@ def accepted(docs: DataFrame, models: Models | None, text_col: str = "text") ->
                 texts = [(t or "").encode("utf-8", "replace") for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(~decide(sent.value, texts)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
