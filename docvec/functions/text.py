@@ -22,10 +22,10 @@ ALPHABET_DEFAULT = r"[^a-zA-Z']"
 ALPHABET_CLEAN = r"[^a-zA-Z'.?!]"
 ALPHABET_TRANSFORMER = r"[^a-zA-Z0-9'.?!:;\"\-,]"
 # per-token removals of the word tokeniser, in this order
-TOKEN_NEG_SUFFIX = r"n't$"
-TOKEN_CLITIC = r"'[a-z]{1,2}$"
-TOKEN_NON_LETTERS = r"[^a-z]"
-TOKEN_NON_LETTERS_KEEP_MARKS = r"[^a-z.?!]"
+TOKEN_NEG_SUFFIX = r"n't( |$)"
+TOKEN_CLITIC = r"'[a-z]{1,2}( |$)"
+TOKEN_NON_LETTERS = r"[^a-z ]"
+TOKEN_NON_LETTERS_KEEP_MARKS = r"[^a-z.?! ]"
 # fused words the tokeniser splits into two tokens
 FUSED_WORDS = (
     (r"\b(can)(not)\b", "$1 $2"),
@@ -92,9 +92,9 @@ def _strip_text(t: Column, keep_marks: bool = False) -> Column:
     once (same result: every pattern is anchored at a token end and never
     spans a space), so they run as three code-generated regex passes instead
     of three interpreted lambdas per token."""
-    t = F.regexp_replace(t, r"n't( |$)", "$1")
-    t = F.regexp_replace(t, r"'[a-z]{1,2}( |$)", "$1")
-    return F.regexp_replace(t, r"[^a-z.?! ]" if keep_marks else r"[^a-z ]", "")
+    t = F.regexp_replace(t, TOKEN_NEG_SUFFIX, "$1")
+    t = F.regexp_replace(t, TOKEN_CLITIC, "$1")
+    return F.regexp_replace(t, TOKEN_NON_LETTERS_KEEP_MARKS if keep_marks else TOKEN_NON_LETTERS, "")
 
 
 def _tokens_of_text(t: Column, keep_marks: bool = False) -> Column:

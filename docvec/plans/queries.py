@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docvec.functions import text as T
-from docvec.functions.dictionaries import (DEMO_CONTRACTIONS, DEMO_LEMMAS, DEMO_PHRASES,
-                                           ENGLISH_STOP_WORDS)
+from docvec.functions.dictionaries import ENGLISH_STOP_WORDS
 from docvec.operators import classify, evaluate, splits, vocab, wordvec
 from docvec.operators.ranking import top_k_per_group
 from docvec.plans import sqltext as S
@@ -29,8 +28,11 @@ MAX_WORDS = 100
 FIXED_LEN = 4096
 TOP_TERMS = 1000
 TOP_PER_LANG = 5
+PHRASES = 30
+STOP_TABLE = 25
+LEMMA_ENDINGS = (("ing", "n"), ("ed", "v"), ("er", "a"))
 UNKNOWN_EVERY = 7        # stand-in vectors: words whose hash is divisible by 7 are unknown
-PSIF_K = 4               # clusters of the partitioned-vector algebra check
+PSIF_K = 40              # clusters of the partitioned vectors, as in the reference configuration
 EPS = 1e-7               # attention normaliser epsilon
 
 
@@ -68,12 +70,34 @@ def t4_clean_transformer(spark, sf):
     return _docs(spark, sf).select("doc_id", T.clean_for_transformer("text").alias("text_out"))
 
 
+def _token_rows(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def _t11(spark, sf) -> DataFrame:
+    from docvec.session import cut_lineage
+    return cut_lineage(_docs(spark, sf).select("doc_id", T.preprocess("text").alias("tokens")))
+
+
 def t5_contractions(spark, sf):
-    return _per_doc_tokens(spark, sf, lambda c: T.preprocess(c, contractions=DEMO_CONTRACTIONS))
+    """Contracted forms from a table made of the corpus: every 40th word (by
+    hash) of four letters or more stands for its two parts."""
+    from docvec.operators import dictionaries as D
+    d = _docs(spark, sf)
+    words = d.select(F.explode(F.split(F.lower(T.keep_chars(T.strip_email("text"), "default")), " ")).alias("form")).distinct()
+    table = words.where((F.length("form") >= 4) & (wordvec.md5_bucket("form", 40) == 0)).select(
+        "form", F.concat(F.substring("form", 1, 2), F.lit(" "), F.expr("substring(form, 3)")).alias("expansion"))
+    return _token_rows(D.expand_contractions(d, table).select("doc_id", T.preprocess("text").alias("tokens")))
 
 
 def t10_phrases(spark, sf):
-    return _per_doc_tokens(spark, sf, lambda c: T.preprocess(c, phrases=DEMO_PHRASES))
+    """Phrases from a table: the 30 most frequent pairs of neighbours."""
+    from docvec.operators import dictionaries as D
+    toks = _t11(spark, sf)
+    pairs = toks.where(F.size("tokens") > 1).select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.slice("tokens", i, 2))).alias("words"))
+    best = pairs.groupBy("words").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "words").limit(PHRASES)
+    return _token_rows(D.merge_phrases(toks, best))
 
 
 def t11_tokens(spark, sf):
@@ -81,11 +105,21 @@ def t11_tokens(spark, sf):
 
 
 def t12_stopwords(spark, sf):
-    return _per_doc_tokens(spark, sf, lambda c: T.preprocess(c, remove_stopwords=True))
+    """Stop words from a table: the 25 most frequent words."""
+    from docvec.operators import dictionaries as D
+    toks = _t11(spark, sf)
+    top = toks.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return _token_rows(D.remove_stopwords(toks, top.orderBy(F.desc("n"), "word").limit(STOP_TABLE).select("word")))
 
 
 def t13_lemmas(spark, sf):
-    return _per_doc_tokens(spark, sf, lambda c: T.preprocess(c, lemmas=DEMO_LEMMAS))
+    """Lemmas from a table made of the corpus: endings taken off long words."""
+    from docvec.operators import dictionaries as D
+    toks = _t11(spark, sf)
+    words = toks.select(F.explode("tokens").alias("form")).distinct().where(F.length("form") > 5)
+    parts = [words.where(F.col("form").endswith(end)).select("form", F.lit(pos).alias("pos"), F.expr(
+        f"substring(form, 1, length(form) - {len(end)})").alias("lemma")) for end, pos in LEMMA_ENDINGS]
+    return _token_rows(D.lemmatize(toks, parts[0].union(parts[1]).union(parts[2])))
 
 
 def t14_clean_string(spark, sf):
@@ -124,11 +158,42 @@ SQL: dict[str, str] = {
     + " FROM documents",
     "t3_collapse_ws": f"SELECT doc_id, {S.collapse_ws(S.null_to_empty('text'))} AS text_out FROM documents",
     "t4_clean_transformer": f"SELECT doc_id, {S.clean_for_transformer('text')} AS text_out FROM documents",
-    "t5_contractions": _per_doc_tokens_sql(S.preprocess("text", contractions=DEMO_CONTRACTIONS)),
-    "t10_phrases": _per_doc_tokens_sql(S.preprocess("text", phrases=DEMO_PHRASES)),
+    "t5_contractions": f"""WITH w AS (SELECT doc_id, string_split({S.lower_default('text')}, ' ') AS ws FROM documents),
+        forms AS (SELECT DISTINCT form FROM (SELECT unnest(ws) AS form FROM w)
+                  WHERE length(form) >= 4 AND {S.md5_hash('form')} % 40 = 0),
+        x AS (SELECT doc_id, unnest(ws) AS form, generate_subscripts(ws, 1) AS pos FROM w),
+        t AS (SELECT doc_id, string_agg(CASE WHEN forms.form IS NULL THEN x.form
+                     ELSE x.form[1:2] || ' ' || x.form[3:] END, ' ' ORDER BY pos) AS text
+              FROM x LEFT JOIN forms USING (form) GROUP BY doc_id)
+        SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens
+        FROM (SELECT doc_id, {S.preprocess('text')} AS t FROM t)""",
+    "t10_phrases": f"""WITH w AS (SELECT doc_id, {_TOK} AS ws FROM documents),
+        x AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS pos FROM w),
+        p AS (SELECT a, lead(a) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM x),
+        best AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY a, b ORDER BY n DESC, a, b LIMIT {PHRASES}),
+        l AS (SELECT list([a, b] ORDER BY a, b) AS ps FROM best),
+        m AS (SELECT doc_id, list_reduce(l.ps, lambda s, q: [replace(s[1], ' ' || q[1] || '  ' || q[2] || ' ',
+                     ' ' || q[1] || chr(1) || q[2] || ' ')], [' ' || array_to_string(ws, '  ') || ' '])[1] AS s FROM w, l),
+        r AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(s, ' +'), lambda w: w <> ''),
+                     lambda w: replace(w, chr(1), ' ')) AS t FROM m)
+        SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens FROM r""",
     "t11_tokens": _per_doc_tokens_sql(_TOK),
-    "t12_stopwords": _per_doc_tokens_sql(_TOK_SW),
-    "t13_lemmas": _per_doc_tokens_sql(S.preprocess("text", lemmas=DEMO_LEMMAS)),
+    "t12_stopwords": f"""WITH w AS (SELECT doc_id, {_TOK} AS ws FROM documents),
+        top AS (SELECT word FROM (SELECT unnest(ws) AS word FROM w) GROUP BY word ORDER BY count(*) DESC, word LIMIT {STOP_TABLE}),
+        l AS (SELECT list(word) AS stop FROM top),
+        r AS (SELECT doc_id, list_filter(ws, lambda x: NOT list_contains(l.stop, x)) AS t FROM w, l)
+        SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens FROM r""",
+    "t13_lemmas": f"""WITH w AS (SELECT doc_id, {_TOK} AS ws FROM documents),
+        x AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM w),
+        f AS (SELECT DISTINCT w AS form FROM x WHERE length(w) > 5),
+        n AS (SELECT doc_id, pos, CASE WHEN form IS NOT NULL AND ends_with(w, 'ing') THEN w[1:length(w) - 3] ELSE w END AS w
+              FROM x LEFT JOIN f ON w = form),
+        v AS (SELECT doc_id, pos, CASE WHEN form IS NOT NULL AND ends_with(w, 'ed') THEN w[1:length(w) - 2] ELSE w END AS w
+              FROM n LEFT JOIN f ON w = form),
+        a AS (SELECT doc_id, pos, CASE WHEN form IS NOT NULL AND ends_with(w, 'er') THEN w[1:length(w) - 2] ELSE w END AS w
+              FROM v LEFT JOIN f ON w = form),
+        r AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY pos) AS t FROM a GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(t, '') AS tokens FROM w LEFT JOIN r USING (doc_id)""",
     "t14_clean_string": f"SELECT doc_id, {S.clean_string('text')} AS text_out FROM documents",
     "t16_sentences": (
         f"SELECT doc_id, (generate_subscripts(s, 1) - 1)::BIGINT AS sent_no, unnest(s) AS sentence "
@@ -369,26 +434,39 @@ def _psif_word_stats(spark, sf, toks=None):
     coefs = freq.select("word", F.pmod(wordvec.md5_bucket("word", n_emb) + 1, F.lit(n_emb)).alias("vec_id")).join(
         emb.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, PSIF_K).alias("coefs")), "vec_id")
     idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0
-    return (wv.join(coefs.select("word", "coefs"), "word")
-            .join(stats.select("word", idf.alias("idf")), "word")
-            .join(freq.select("word", (F.lit(wordvec.PSIF_A) / (F.lit(wordvec.PSIF_A) + F.col("p"))).alias("weight")),
-                  "word"))
+    from docvec.session import cut_lineage
+    # one materialised word table: token counts need a single join with it
+    return cut_lineage(
+        wv.join(coefs.select("word", "coefs"), "word")
+        .join(stats.select("word", idf.alias("idf")), "word")
+        .join(freq.select("word", (F.lit(wordvec.PSIF_A) / (F.lit(wordvec.PSIF_A) + F.col("p"))).alias("weight")), "word"))
 
 
 def e9_partitioned_word(spark, sf):
+    """Per word: its strongest cluster, and sum and length of its K x d
+    partitioned vector c (x) vec * idf."""
     ws = _psif_word_stats(spark, sf)
-    vs = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
-    return ws.select("word", F.posexplode("coefs").alias("k", "c"), vs.alias("vs"), "idf").select(
-        "word", F.col("k").cast("long").alias("k"), F.round(F.col("vs") * F.col("c") * F.col("idf"), 6).alias("value"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    return ws.select(
+        "word", evaluate.argmax_pred("coefs").cast("long").alias("cluster"),
+        F.round(total("vec") * total("coefs") * F.col("idf"), 6).alias("v_sum"),
+        F.round(F.sqrt(square("vec") * square("coefs")) * F.col("idf"), 6).alias("v_norm"))
 
 
 def e10_partitioned_doc(spark, sf):
+    """Per document and cluster: sum and length of its d-wide block in the
+    normalised K x d document vector."""
     from docvec.operators.psif import partitioned_doc_vectors
     toks = _tokens(spark, sf)
     ws = _psif_word_stats(spark, sf, toks)
     counts = vocab.term_counts(toks).withColumnRenamed("term", "word")
-    dv = partitioned_doc_vectors(counts, ws, "doc_id")
-    return wordvec.long_vectors(dv, ["doc_id"]).select("doc_id", F.col("dim").cast("long").alias("dim"), "value")
+    d = _dim(spark, sf)
+    dv = partitioned_doc_vectors(counts, ws, "doc_id").select("doc_id", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(PSIF_K - 1)), lambda k: F.slice("vec", k * d + 1, d))).alias("k", "b"))
+    return dv.select("doc_id", F.col("k").cast("long").alias("k"),
+                     F.round(F.aggregate("b", F.lit(0.0), lambda a, x: a + x), 6).alias("v_sum"),
+                     F.round(F.sqrt(F.aggregate("b", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("v_norm"))
 
 
 def e17_attention(spark, sf):
@@ -406,24 +484,27 @@ def e17_attention(spark, sf):
 
 def e19_combine(spark, sf):
     """Sentence vectors (plain mean of word vectors) combined with the
-    sentence's token tf-idf feature row (first d kept tokens, zero padded)
-    by add / mul / concat; reported per sentence."""
+    sentence's token tf-idf feature row (all MAX_WORDS kept tokens, zero padded)
+    by add / mul / concat; vectors are padded to the same width for add and mul.
+    Reported per sentence."""
     from docvec.operators.attention import combine
     d = _dim(spark, sf)
     tok = _sent_tok(spark, sf).filter(F.col("sent_no") < MAX_SENTS)
     freq = vocab.word_frequency(_tokens(spark, sf))
     wv = _wv_for(freq.select("word"), spark, sf)
     sv = wordvec.sentence_vectors(tok, wv, None, d, min_len=1)
-    feats = v9_stat_features(spark, sf).filter(F.col("pos") < d)
+    w = max(d, MAX_WORDS)
+    feats = v9_stat_features(spark, sf)
     frow = feats.groupBy("doc_id", "sent_no").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("p"))  # <= d entries per sentence
+        F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("p"))  # <= MAX_WORDS entries per sentence
     frow = frow.select("doc_id", "sent_no", F.transform("p", lambda s: s["value"]).alias("f"))
-    frow = frow.select("doc_id", "sent_no", F.concat("f", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("f"))).alias("f"))
+    frow = frow.select("doc_id", "sent_no", F.concat("f", F.array_repeat(F.lit(0.0), F.lit(w) - F.size("f"))).alias("f"))
     j = sv.withColumn("sent_no", F.col("sent_no").cast("long")).join(frow, ["doc_id", "sent_no"])
     s = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    wide = F.concat("vec", F.array_repeat(F.lit(0.0), w - d))
     return j.select("doc_id", "sent_no",
-                    F.round(s(combine(F.col("vec"), F.col("f"), "add")), 6).alias("sum_add"),
-                    F.round(s(combine(F.col("vec"), F.col("f"), "mul")), 6).alias("sum_mul"),
+                    F.round(s(combine(wide, F.col("f"), "add")), 6).alias("sum_add"),
+                    F.round(s(combine(wide, F.col("f"), "mul")), 6).alias("sum_mul"),
                     F.size(combine(F.col("vec"), F.col("f"), "concat")).cast("long").alias("n_concat"))
 
 
@@ -470,18 +551,20 @@ SQL.update({
     "e8_hard_cluster": """SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS cluster
         FROM embeddings""",
     "e9_partitioned_word": f"""WITH {_PSIF_WS}
-        SELECT word, (generate_subscripts(coefs, 1) - 1)::BIGINT AS k,
-               round(list_sum(vec) * unnest(coefs) * idf, 6) AS value FROM ws""",
+        SELECT word, (list_position(coefs, list_max(coefs)) - 1)::BIGINT AS cluster,
+               round(list_sum(vec) * list_sum(coefs) * idf, 6) AS v_sum,
+               round(sqrt(list_sum(list_transform(vec, lambda x: x * x)) * list_sum(list_transform(coefs, lambda x: x * x))) * idf, 6)
+                 AS v_norm FROM ws""",
     "e10_partitioned_doc": f"""WITH {_PSIF_WS},
         cnt AS (SELECT doc_id, word, count(*) AS n FROM tk GROUP BY 1, 2),
-        blk AS (SELECT c.doc_id, c.n * ws.weight * ws.idf AS a, ws.vec, unnest(ws.coefs) AS coef,
-                       generate_subscripts(ws.coefs, 1) - 1 AS k FROM cnt c JOIN ws USING (word)),
-        el AS (SELECT doc_id, k, a * coef AS b, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS j FROM blk),
-        s AS (SELECT doc_id, k * (SELECT len(embedding) FROM embeddings LIMIT 1) + j AS dim, sum(b * x) AS v
-              FROM el GROUP BY doc_id, k, j),
+        blk AS (SELECT c.doc_id, c.n * ws.weight * ws.idf AS a, ws.coefs, unnest(ws.vec) AS x,
+                       generate_subscripts(ws.vec, 1) - 1 AS j FROM cnt c JOIN ws USING (word)),
+        el AS (SELECT doc_id, j, a * x AS b, unnest(coefs) AS coef, generate_subscripts(coefs, 1) - 1 AS k FROM blk),
+        s AS (SELECT doc_id, k, j, sum(b * coef) AS v FROM el GROUP BY doc_id, k, j),
         nr AS (SELECT doc_id, sqrt(sum(v * v)) AS nrm FROM s GROUP BY doc_id)
-        SELECT doc_id, dim::BIGINT AS dim, round(CASE WHEN nrm > 0 THEN v / nrm ELSE 0.0 END, 6) AS value
-        FROM s JOIN nr USING (doc_id)""",
+        SELECT doc_id, k::BIGINT AS k, round(sum(CASE WHEN nrm > 0 THEN v / nrm ELSE 0.0 END), 6) AS v_sum,
+               round(sqrt(sum(CASE WHEN nrm > 0 THEN (v / nrm) * (v / nrm) ELSE 0.0 END)), 6) AS v_norm
+        FROM s JOIN nr USING (doc_id) GROUP BY doc_id, k""",
     "e17_attention": f"""WITH wv AS {_WV},
         d AS (SELECT len(embedding) AS d FROM embeddings LIMIT 1),
         t AS (SELECT tk.doc_id, coalesce(wv.vec, list_transform(range(0, d.d), lambda i: 0.0::DOUBLE)) AS vec
@@ -681,7 +764,7 @@ SQL["e19_combine"] = f"""WITH g AS {_GRID},
     kn AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM kw GROUP BY doc_id),
     dd AS (SELECT len(embedding) AS d FROM embeddings LIMIT 1),
     f AS (SELECT g.doc_id, g.sent_no, g.pos AS dim, round(CASE WHEN kn.nrm > 0 THEN kw.w / kn.nrm ELSE 0.0 END, 6) AS f
-          FROM g JOIN kw USING (doc_id, word) JOIN kn USING (doc_id), dd WHERE g.pos < dd.d),
+          FROM g JOIN kw USING (doc_id, word) JOIN kn USING (doc_id)),
     st AS (SELECT * FROM {_SENT_TOK} WHERE sent_no < {MAX_SENTS}),
     wv AS {_WV},
     lens AS (SELECT doc_id, sent_no, count(*) AS n_words FROM st GROUP BY 1, 2),
@@ -689,11 +772,11 @@ SQL["e19_combine"] = f"""WITH g AS {_GRID},
     el AS (SELECT c.doc_id, c.sent_no, c.n AS wgt, unnest(wv.vec) AS x, generate_subscripts(wv.vec, 1) - 1 AS dim
            FROM cnt c JOIN wv USING (word)),
     sums AS (SELECT doc_id, sent_no, dim, sum(wgt * x) AS s FROM el GROUP BY 1, 2, 3),
-    dims AS (SELECT range AS dim FROM range(0, (SELECT d FROM dd))),
+    dims AS (SELECT range AS dim FROM range(0, (SELECT greatest(d, {MAX_WORDS}) FROM dd))),
     sv AS (SELECT l.doc_id, l.sent_no, dims.dim, coalesce(s.s, 0.0) / greatest(l.n_words, 1) AS v
            FROM lens l CROSS JOIN dims LEFT JOIN sums s ON s.doc_id = l.doc_id AND s.sent_no = l.sent_no AND s.dim = dims.dim),
     keep AS (SELECT DISTINCT doc_id, sent_no FROM f)
     SELECT sv.doc_id, sv.sent_no::BIGINT AS sent_no, round(sum(sv.v + coalesce(f.f, 0.0)), 6) AS sum_add,
-           round(sum(sv.v * coalesce(f.f, 0.0)), 6) AS sum_mul, (2 * max(dd.d))::BIGINT AS n_concat
+           round(sum(sv.v * coalesce(f.f, 0.0)), 6) AS sum_mul, (max(dd.d) + greatest(max(dd.d), {MAX_WORDS}))::BIGINT AS n_concat
     FROM sv JOIN keep USING (doc_id, sent_no) LEFT JOIN f USING (doc_id, sent_no, dim), dd
     GROUP BY sv.doc_id, sv.sent_no"""
