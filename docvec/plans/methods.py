@@ -76,23 +76,6 @@ def m_lda(spark, sf):
     return _long(LDA(k=100, max_iter=10).fit(c).transform(c))
 
 
-def m_bow_svm_cv(spark, sf):
-    """X2 + C2: 5-fold cross-validation of BOW + linear SVM on the language."""
-    from docvec.plans.runner import build_methods, cross_validate
-    runs, summary, _ = cross_validate(spark, _corpus(spark, sf), {"bow": build_methods()["bow"]}, k=5)
-    return summary
-
-
-def m_tfidf_knn_tt(spark, sf):
-    """X3 + C3: train/test runner (holdout split), TF-IDF + kNN vote."""
-    from docvec.operators.splits import holdout
-    from docvec.plans.runner import build_methods, train_test
-    c = holdout(_corpus(spark, sf), 0.2, 42, "doc_id").withColumn(
-        "split", F.when(F.col("split") == "val", "test").otherwise("train"))
-    runs, summary, _ = train_test(spark, c, {"tfidf": build_methods()["tfidf"]}, repeats=1, classifier="knn")
-    return summary
-
-
 METHOD_QUERIES = {
     "m_sif_doc_vectors": m_sif_doc_vectors,
     "m_psif": m_psif,
@@ -100,30 +83,30 @@ METHOD_QUERIES = {
     "m_pca": m_pca,
     "m_lsa": m_lsa,
     "m_lda": m_lda,
-    "m_bow_svm_cv": m_bow_svm_cv,
-    "m_tfidf_knn_tt": m_tfidf_knn_tt,
 }
 
 
-def m_doc2vec_dbow(spark, sf):
-    """E15 + E16: paragraph vectors (bag of words), tag = language, 40 epochs."""
-    from docvec.operators.doc2vec import Doc2Vec
+def m_han(spark, sf):
+    """Hierarchical attention encoder, early stop, patience 5."""
+    from docvec.operators.han import HierarchicalAttention
     c = _corpus(spark, sf)
-    return _long(Doc2Vec(size=100, window=5, negative=10, epochs=40, dm=False).fit(c).transform(c))
+    return _long(HierarchicalAttention(_wv(spark, sf), _dim(spark, sf)).fit(c).transform(c))
 
 
-def m_doc2vec_dm(spark, sf):
-    """E14 + E16: paragraph vectors (distributed memory), 40 epochs."""
-    from docvec.operators.doc2vec import Doc2Vec
-    c = _corpus(spark, sf)
-    return _long(Doc2Vec(size=100, window=5, negative=10, epochs=40, dm=True).fit(c).transform(c))
+def m_transformer(spark, sf):
+    """First-token vectors of a caller's model (here: letter shares of the
+    cleaned text)."""
+    import numpy as np
+    from docvec.plans.runner import build_methods
 
+    def load_model():
+        def encode(texts):
+            counts = np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], float)
+            return counts / np.maximum(counts.sum(1, keepdims=True), 1.0)
+        return encode
 
-def m_han(spark, sf):
-    """Hierarchical attention encoder, early stop, patience 5."""
-    from docvec.operators.han import HierarchicalAttention
     c = _corpus(spark, sf)
-    return _long(HierarchicalAttention(_wv(spark, sf), _dim(spark, sf)).fit(c).transform(c))
+    return _long(build_methods(load_fn=load_model, load_dim=26)["transformer"]().fit(c).transform(c))
 
 
 def m_han_features(spark, sf):
@@ -135,8 +118,7 @@ def m_han_features(spark, sf):
 
 
 METHOD_QUERIES.update({
-    "m_doc2vec_dbow": m_doc2vec_dbow,
-    "m_doc2vec_dm": m_doc2vec_dm,
+    "m_transformer": m_transformer,
     "m_han": m_han,
     "m_han_features": m_han_features,
 })

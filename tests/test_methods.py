@@ -67,7 +67,7 @@ def test_attention_encoder_learns(corpus, wv):
     most = target.groupBy("word").agg(F.mode("target").alias("c"))
     told = wv.join(most, "word").select("word", F.transform(
         "vec", lambda x, i: x + F.when(i == F.col("c"), 1.0).otherwise(0.0)).alias("vec"))
-    m = HierarchicalAttention(told, 64, max_sents=10, max_words=30, epochs=6, docs_per_partition=64).fit(corpus)
+    m = HierarchicalAttention(told, 64, max_sents=10, max_words=30, epochs=25, lr=0.003, docs_per_partition=64).fit(corpus)
     x, y = vectors(m, corpus)
     pred = (x @ m.params["Wc"] + m.params["bc"]).argmax(1)
     assert (pred == y).mean() > np.bincount(y).max() / len(y) + 0.2
