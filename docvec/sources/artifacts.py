@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docvec.session import path_exists
 
-META = "params"
+META = "fitted_values"
 
 
 def _at(path: str, name: str) -> str:

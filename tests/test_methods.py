@@ -134,7 +134,8 @@ def test_hot_word_join_is_split(spark):
     keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # a partition is split between its map outputs
     tok = spark.range(60_000).select(
         (F.col("id") % 20_000).alias("doc_id"), F.lit(0).alias("sent_no"), F.lit(0).alias("pos"),
         F.when(F.col("id") % 3 == 0, "the").otherwise(F.concat(F.lit("w"), (F.col("id") % 500).cast("string"))).alias("word"))
