@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvec.llm.common import column
+from docvec.llm.common import bounded, column
 from docvec.operators.ranking import global_rank
 from docvec.session import cut_lineage
 
@@ -231,18 +231,20 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     text are taken each on their own but share their other columns."""
     held = mixed(mix).groupBy("k1", "k2", "sid", "start", "pass").agg(
         F.sort_array(F.collect_list(F.struct("low", "high"))).alias("mix_spans"))
-    texts = docs.select(*[column(c) for c in docs.columns], *row_keys(id_col, text_col, source_col))
+    # the documents' columns travel in a struct, where their names cannot clash
+    texts = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"),
+                        column(text_col).cast("string").alias("whole"), *row_keys(id_col, text_col, source_col))
     joined = texts.dropDuplicates(["k1", "k2"]).join(held.select("k1", "k2", "mix_spans"), ["k1", "k2"])
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([words_of(t, [(s["low"], s["high"]) for s in x]) for t, x in zip(text, spans, strict=True)])
 
-    out = joined.withColumn("mix_text", cut(column(text_col).cast("string"), F.col("mix_spans")))
+    out = bounded(joined).select("row", cut("whole", "mix_spans").alias("mix_text"))
     kept = {text_col: F.col("mix_text")}
     if chars_col in docs.columns:
         kept[chars_col] = F.length("mix_text").cast(docs.schema[chars_col].dataType)
-    return out.select(*[kept.get(c, column(c)).alias(c) for c in docs.columns])
+    return out.select(*[kept.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def words_of(text: str, spans: list[tuple[int, int]]) -> str:

@@ -95,7 +95,8 @@ def test_slots_blocks_and_texts(spark, sf):
 def test_rows_of_all_kinds(spark):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", None), (2, None, "s"), (3, "  ", "t"), (4, "w " * 5000, "t"),
             (None, None, None), (5, "x", "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as taken", "2 as block")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr(
+        "*", "1 as taken", "2 as block", "3 as k1", "4 as row", "5 as mix_text", "6 as `pass`", "7 as n_chars")
     mix = mixing.plan(docs)
     got = mixing.taken(mix).collect()
     assert len(got) == len(rows)
