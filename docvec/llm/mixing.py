@@ -219,7 +219,8 @@ def taken(mix: Mix) -> DataFrame:
 def mixed(mix: Mix) -> DataFrame:
     """The output: (shard, slot, pass, block, sid, doc_id, k1, k2, start, low,
     high), each slot's block as the pieces of the documents in it."""
-    return pieces(mix).join(mix.slots, ["sid", "block"]).select(
+    # the slots are made after a small shuffle, whose size must not have them broadcast
+    return pieces(mix).join(mix.slots.hint("merge"), ["sid", "block"]).select(
         "shard", "slot", "pass", "block", "sid", "doc_id", "k1", "k2", "start", "low", "high")
 
 

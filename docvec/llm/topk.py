@@ -159,6 +159,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
                         "vec_id": np.concatenate([f[1] for f in found]),
                         "score": np.concatenate([f[2] for f in found])})
 
-    best = index.join(block, "shard").mapInPandas(run, "query_id long, vec_id long, score long")
+    best = index.hint("merge").join(block, "shard").mapInPandas(run, "query_id long, vec_id long, score long")
     ranked = top_k_per_group(best, ["query_id"], k, [F.desc("score"), F.asc("vec_id")], salts=4)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
