@@ -10,16 +10,19 @@ from pyspark.sql.window import Window
 
 from docvec.session import cut_lineage
 
-# Tables with at most this many rows (classes, dictionaries, group starts)
-# are broadcast; bigger ones fall back to a shuffle join.
+# Tables within both bounds (classes, dictionaries, group starts) are broadcast;
+# bigger ones fall back to a shuffle join.
 SMALL_TABLE_ROWS = 1_000_000
+SMALL_TABLE_BYTES = 32 << 20
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check (an action on a small,
-    usually cached table); beyond the bound the plain table is returned and
-    Spark shuffles (AQE may still convert at run time)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def checked_broadcast(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS, max_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
+    """Broadcast hint only behind a check of rows and bytes (one action on a
+    small, usually materialised table); beyond the bounds the plain table is
+    returned and Spark shuffles."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if row["n"] <= max_rows and row["b"] <= max_bytes else df
 
 
 # Top-k through TakeOrderedAndProject only up to this k; beyond it the
