@@ -2,11 +2,13 @@
 
 For each language the counts of all character 4-grams of all its training
 texts are gathered with one Spark aggregation (partial sums per task first).
-From them the driver makes one interpolated Kneser-Ney model per language: the
-highest order from counts, the lower ones from the numbers of distinct left
-neighbours.  Models are stored together, one table per order: a sorted array of
-64-bit hashes, and beside it the log probability and back-off weight of the
-n-gram in each language.  A text goes to the language with the lowest
+From all of them Spark aggregations and joins make one interpolated Kneser-Ney
+model per language: the highest order from counts, the lower ones from the
+numbers of distinct left neighbours.  The model goes to tasks in parts of a
+bounded size, in the order in which a text's n-grams meet them; a part has a
+sorted array of 64-bit hashes, and beside it the log probability or back-off
+weight in each language that has the n-gram.  A task that cannot hold all the
+parts loads them in turn.  A text goes to the language with the lowest
 cross-entropy per character.  It is rejected when that entropy is above the
 language's calibrated bound, found on a bounded sample of training texts.
 
@@ -27,18 +29,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvec.llm.common import bounded, column, slices, text_rows
+from docvec.session import cut_lineage
 
 ORDER = 4
 SPACE, START = 0x20, 0x01
 PIECE_BYTES = 1 << 20      # a longer text is scored in pieces of about this size
 SLICE_BYTES = 2 << 20      # text handled at once in a task
 FLUSH_TYPES = 1 << 20      # distinct n-grams that a counting task holds
-MODEL_CELLS = 1 << 25      # bound on (n-grams x languages) of the model that is sent to tasks
-MAX_TYPES = 1 << 18        # n-grams of one language in the model, the most frequent
+PART_CELLS = 1 << 22       # (n-gram, language) cells of one part of the model
+HELD_CELLS = 1 << 23       # cells of all parts up to which a task keeps them loaded
+SCORE_CELLS = 1 << 23      # (n-gram, language) scores that a task holds at once
 CALIBRATION_DOCS = 4096    # training texts, about, on which rejection is calibrated
 SHARPNESS = 8.0            # of the score: per nat of cross-entropy between languages
 REJECT_SPREADS = 8.0       # a bound is so many spreads above the mean entropy
@@ -111,49 +116,87 @@ def _suffix(key: np.ndarray, n: int) -> np.ndarray:
 
 
 # -- the models -----------------------------------------------------------------
+@dataclass
+class Part:
+    """Log probabilities of n-grams (``sets``), or log back-off weights of
+    n-grams as contexts: sorted hashes, and the cells from starts[i] to
+    starts[i + 1] hold the value of the i-th in each language that has it."""
+
+    n: int
+    sets: bool
+    hashes: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(n: int, sets: bool, key: np.ndarray, lang: np.ndarray, value: np.ndarray) -> Part:
+        h = _hash(key)
+        order = np.argsort(h, kind="stable")
+        hashes, starts = np.unique(h[order], return_index=True)
+        return Part(n, sets, hashes, np.append(starts, len(h)), lang[order].astype(np.int32),
+                    value[order].astype(np.float32))
+
+    def apply(self, out: np.ndarray, key: np.ndarray) -> None:
+        """Raises ``out`` (n-grams x languages) from order n - 1 to n, or by the
+        weights of the contexts of n characters."""
+        if not len(self.hashes):
+            return
+        h = _hash(_suffix(key if self.sets else key >> np.uint64(16), self.n))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        row = np.flatnonzero(self.hashes[at] == h)
+        first = self.starts[at[row]]
+        sizes = self.starts[at[row] + 1] - first
+        row = np.repeat(row, sizes)
+        cell = np.arange(len(row)) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        if self.sets:
+            out[row, self.lang[cell]] = self.value[cell]
+        else:
+            out[row, self.lang[cell]] += self.value[cell]
+
+
 @dataclass
 class Models:
-    """Per order n (1 to ORDER): sorted hashes of n-grams, log probability and
-    log back-off weight (as a context) of each in each language.  ``floor`` is
-    each language's log probability of a character that no language knows."""
+    """``packs`` are lists of parts, or broadcasts of such, by ascending order of
+    the n-grams, log probabilities before back-off weights.  ``floor`` is each
+    language's log probability of a character that it does not know."""
 
     languages: list[str]
-    hashes: list[np.ndarray]
-    logp: list[np.ndarray]
-    back: list[np.ndarray]
+    packs: list
+    cells: int
     floor: np.ndarray
     bounds: np.ndarray
 
-    def _find(self, n: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table, h = self.hashes[n - 1], _hash(key)
-        at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-        return at, table[at] == h
-
-    def score(self, key: np.ndarray, n: int = ORDER) -> np.ndarray:
-        """Log probability of the last character of each n-gram in each language."""
-        if n == 0:
-            return np.broadcast_to(self.floor, (len(key), len(self.languages)))
-        at, hit = self._find(n, key)
-        out = self.logp[n - 1][at]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            part = key[miss]
-            rest = self.score(_suffix(part, n - 1), n - 1)
-            if n > 1:  # the context's back-off weight, where the context is known
-                at, known = self._find(n - 1, part >> np.uint64(16))
-                rest = rest + np.where(known[:, None], self.back[n - 2][at], 0)
-            out[miss] = rest
+    def _parts(self) -> Iterator[Part]:
+        for pack in self.packs:
+            if not isinstance(pack, Broadcast):
+                yield from pack
+            elif self.cells <= HELD_CELLS:
+                yield from pack.value
+            else:  # not ``value``, which would keep what it loads
+                yield from pack.load_from_path(pack._path)
+
+    def score(self, key: np.ndarray) -> np.ndarray:
+        """Log probability of the last character of each 4-gram in each language."""
+        out = np.repeat(self.floor[None].astype(np.float32), len(key), axis=0)
+        for part in self._parts():
+            part.apply(out, key)
         return out
 
     def entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy per character of each text in each language, letters)."""
         key, which, letters = grams(texts)
         total = np.zeros((len(texts), len(self.languages)))
-        for at in range(0, len(key), 1 << 20):
-            part = self.score(key[at:at + (1 << 20)])
-            w = which[at:at + (1 << 20)]
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(w)) + 1))
-            np.add.at(total, w[cuts], np.add.reduceat(part.astype(np.float64), cuts, axis=0))
+        names, inverse = np.unique(key, return_inverse=True)
+        room = max(1024, SCORE_CELLS // len(self.languages))
+        for low in range(0, len(names), room):
+            scores = self.score(names[low:low + room])
+            here = np.flatnonzero((inverse >= low) & (inverse < low + room)) if len(names) > room else np.arange(len(key))
+            for at in range(0, len(here), room):
+                some = here[at:at + room]
+                part, w = scores[inverse[some] - low], which[some]
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(w)) + 1))
+                np.add.at(total, w[cuts], np.add.reduceat(part, cuts, axis=0, dtype=np.float64))
         n = np.bincount(which, minlength=len(texts))
         return -total / np.maximum(n, 1)[:, None], letters
 
@@ -208,23 +251,20 @@ def _weight(model: list[dict], context: np.ndarray, n: int) -> np.ndarray:
 
 
 def merge_models(models: dict[str, list[dict]]) -> Models:
+    """Models of counts that fit into memory, as ``fit`` makes them with Spark."""
     languages = sorted(models)
-    hashes, logp, back = [], [], []
+    parts = []
     for n in range(1, ORDER + 1):
-        known = [models[x][n - 1]["k"] for x in languages]
-        if n < ORDER:  # contexts of the next order may end texts and be no n-gram themselves
-            known += [models[x][n]["contexts"] for x in languages]
-        keys = np.unique(np.concatenate(known))
-        h = _hash(keys)
-        order = np.argsort(h)
-        keys = keys[order]
-        hashes.append(h[order])
-        logp.append(np.stack([np.log(_value(models[x], keys, n)) for x in languages], 1).astype(np.float32))
-        if n < ORDER:
-            back.append(np.stack([np.log(_weight(models[x], keys, n + 1)) for x in languages], 1).astype(np.float32))
+        for sets, level, key, value in ((True, n, "k", "p"), (False, n + 1, "contexts", "weight")):
+            if level <= ORDER:
+                found = [models[x][level - 1] for x in languages]
+                parts.append(Part.of(
+                    n, sets, np.concatenate([m[key] for m in found]),
+                    np.repeat(np.arange(len(found)), [len(m[key]) for m in found]),
+                    np.log(np.concatenate([m[value] for m in found]))))
     none = np.zeros(1, np.uint64)
     floor = np.array([np.log(_weight(models[x], none, 1)[0] / 65536) for x in languages], np.float32)
-    return Models(languages, hashes, logp, back, floor, np.full(len(languages), np.inf))
+    return Models(languages, [parts], sum(len(p.lang) for p in parts), floor, np.full(len(languages), np.inf))
 
 
 # -- Spark --------------------------------------------------------------------------
@@ -268,38 +308,82 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _levels(counted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """By order: all n-grams (lang, gram, p) with their probability given the
+    context, and all contexts (lang, gram, weight); ``kneser_ney`` in Spark."""
+    counts = [counted.select("lang", "gram", F.col("n").cast("double").alias("c"))]
+    for n in range(ORDER - 1, 0, -1):  # lower orders count distinct left neighbours
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1))
+        counts.insert(0, cut_lineage(counts[0].groupBy("lang", suffix.alias("gram")).agg(
+            F.count(F.lit(1)).cast("double").alias("c"))))
+    out: list[tuple[DataFrame, DataFrame]] = []
+    for n, c in enumerate(counts, start=1):
+        once, twice = F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))
+        discount = F.when(once > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), once / (once + 2 * twice))))
+        discounts = c.groupBy("lang").agg(F.coalesce(discount, F.lit(0.1)).alias("discount"))
+        own = c.withColumn("context", F.shiftrightunsigned("gram", 16))
+        contexts = cut_lineage(
+            own.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
+            .join(F.broadcast(discounts), "lang")
+            .withColumn("weight", F.col("discount") * F.col("types") / F.col("total")))
+        rows = own.join(contexts, ["lang", "context"])
+        share = (F.col("c") - F.col("discount")) / F.col("total")
+        if n == 1:
+            rows = rows.select("lang", "gram", (share + F.col("weight") / 65536).alias("p"))
+        else:
+            below = out[-1][0].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1))).join(
+                below, ["lang", "suffix"]).select("lang", "gram", (share + F.col("weight") * F.col("below")).alias("p"))
+        out.append((cut_lineage(rows), contexts.select("lang", F.col("context").alias("gram"), "weight")))
+    return out
+
+
+def _collected(n: int, sets: bool, cells: DataFrame, value: str) -> Iterator[Part]:
+    """All ``cells`` (lang, gram, value) in parts of about PART_CELLS."""
+    parts = -(-cells.count() // PART_CELLS)
+    for i in range(parts):
+        some = cells.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == i) if parts > 1 else cells
+        t = some.select("lang", "gram", F.log(value).cast("float").alias("value")).toArrow()
+        yield Part.of(n, sets, t["gram"].to_numpy().view(np.uint64), t["lang"].to_numpy(), t["value"].to_numpy())
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
-    """Models learned from all rows with a language that are not held out.
-    Counts cover every training text; the model keeps each language's most
-    frequent n-grams within MAX_TYPES and MODEL_CELLS."""
+    """Models learned from all rows with a language that are not held out, with
+    all their n-grams."""
     train = bounded(docs).where(column(lang_col).isNotNull() & ~held_out(id_col)).select(
         column(lang_col).cast("string").alias("lang"),
         F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
         F.xxhash64(column(id_col)).alias("draw"))
-    counted = count_grams(train.select("lang", "text")).persist()
-    capped = F.least("n", F.lit(1000)).alias("count")
-    spread = counted.groupBy("lang", capped).agg(F.count(F.lit(1)).alias("types")).collect()
-    languages = sorted({r["lang"] for r in spread})
+    named = count_grams(train.select("lang", "text")).persist()
+    languages = sorted(r["lang"] for r in named.select("lang").distinct().collect())
     if not languages:
-        counted.unpersist()
+        named.unpersist()
         return None
-    room = max(1024, min(MAX_TYPES, MODEL_CELLS // len(languages) ** 2))
-    least = {}
-    for lang in languages:  # the smallest count whose n-grams all fit
-        held, least[lang] = 0, 1001
-        for r in sorted((r for r in spread if r["lang"] == lang), key=lambda r: -r["count"]):
-            held += r["types"]
-            if held > room and least[lang] <= 1000:
-                break
-            least[lang] = r["count"]
-    bar = F.create_map(*[F.lit(x) for lang in languages for x in (lang, least[lang])])
-    kept = counted.where(F.col("n") >= bar[F.col("lang")]).toPandas()
-    counted.unpersist()
-    models = {}
-    for lang, f in kept.groupby("lang"):
-        order = np.argsort(keys := f["gram"].to_numpy().view(np.uint64))
-        models[lang] = kneser_ney(keys[order], f["n"].to_numpy()[order])
-    merged = merge_models(models)
+    spark = docs.sparkSession
+    numbers = spark.createDataFrame(list(enumerate(languages)), "number int, lang string")
+    counted = cut_lineage(named.join(F.broadcast(numbers), "lang").select(F.col("number").alias("lang"), "gram", "n"))
+    levels = _levels(counted)
+    named.unpersist()
+    floor = np.empty(len(languages), np.float32)
+    for r in levels[0][1].select("lang", F.log(F.col("weight") / 65536).alias("floor")).collect():
+        floor[r["lang"]] = r["floor"]
+    merged = Models(languages, [], 0, floor, np.full(len(languages), np.inf))
+    pack: list[Part] = []
+
+    def send() -> None:
+        if pack:
+            merged.packs.append(spark.sparkContext.broadcast(pack[:]))
+            pack.clear()
+
+    for n in range(1, ORDER + 1):
+        steps = [(True, levels[n - 1][0], "p")] + ([(False, levels[n][1], "weight")] if n < ORDER else [])
+        for sets, cells, value in steps:
+            for part in _collected(n, sets, cells, value):
+                if sum(len(p.lang) for p in pack) + len(part.lang) > PART_CELLS:
+                    send()
+                pack.append(part)
+                merged.cells += len(part.lang)
+    send()
     total = train.count()
     sample = train.where(F.pmod("draw", F.lit(max(1, total // CALIBRATION_DOCS))) == 0).select(
         F.lit(0).cast("long").alias("doc_id"), "lang", "text")
@@ -310,10 +394,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _calibrated(sample: DataFrame, models: Models) -> np.ndarray:
     """Per language: an entropy that its own texts, of which ``sample`` holds a
     bounded number, do not reach."""
-    sent = sample.sparkSession.sparkContext.broadcast(models)
+    m = models
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for part in slices(batches, limit=SLICE_BYTES):
             entropy, letters = m.entropies(part.column("text").to_pylist())
             langs = part.column("lang").to_pylist()
@@ -330,7 +413,6 @@ def _calibrated(sample: DataFrame, models: Models) -> np.ndarray:
         if lang in stats:
             r = stats[lang]
             out[i] = max(r["mean"] + REJECT_SPREADS * r["sd"], r["max"] + 1.0)
-    sent.unpersist()
     return out
 
 
@@ -353,11 +435,10 @@ def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text
     """(doc_id, lang_pred, score double, entropy double, rejected boolean) of
     every whole text.  ``score`` is the best language's share when languages
     are weighted by exp(-SHARPNESS * entropy)."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE_BYTES):
-            lang, score, entropy, rejected = decide(sent.value, part.column("text").to_pylist())
+            lang, score, entropy, rejected = decide(models, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy),
                  pa.array(rejected)], names=["doc_id", "lang_pred", "score", "entropy", "rejected"])
@@ -368,13 +449,12 @@ def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text
 
 def accepted(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are rejected; one narrow pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices([batch], at, SLICE_BYTES):
                 texts = [(t or "").encode("utf-8", "replace") for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(~decide(sent.value, texts)[3]))
+                yield part.filter(pa.array(~decide(models, texts)[3]))
 
     return bounded(docs).mapInArrow(run, docs.schema)

@@ -92,3 +92,22 @@ def test_rows_of_all_kinds(spark, corpus):
     assert langid.fit(empty) is None and langid.predict(empty, None).count() == 0
     assert [r["lang_pred"] for r in langid.predict(docs.limit(1), None).collect()] == ["und"]
     assert langid.accepted(empty, models).count() == 0
+
+
+def test_all_n_grams_of_many_languages_are_in_the_model(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    texts = {f"l{i:03d}": ["".join(rng.choice(letters, 2500)) for _ in range(2)] for i in range(200)}
+    rows = [(3 * i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts) if not held_out(3 * i)]
+    counts = {lang: np.unique(langid.grams([t.encode() for _, t, x in rows if x == lang])[0], return_counts=True)
+              for lang in {r[2] for r in rows}}
+    assert min(len(k) for k, _ in counts.values()) > 2000
+    wanted = langid.merge_models({lang: langid.kneser_ney(*c) for lang, c in counts.items()})
+    monkeypatch.setattr(langid, "PART_CELLS", 100_000)
+    got = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got.languages == wanted.languages
+    key = langid.grams([rows[5][1].encode(), rows[50][1][::-1].encode(), "zq漢xx".encode()])[0]
+    assert np.allclose(got.score(key), wanted.score(key), atol=1e-4)
+    assert len(got.packs) > 5
+    got.cells = langid.HELD_CELLS + 1  # the parts are loaded in turn
+    assert np.allclose(got.score(key), wanted.score(key), atol=1e-4)
