@@ -10,7 +10,8 @@ sorted array of 64-bit hashes, and beside it the log probability or back-off
 weight in each language that has the n-gram.  A task that cannot hold all the
 parts loads them in turn.  A text goes to the language with the lowest
 cross-entropy per character.  It is rejected when that entropy is above the
-language's calibrated bound, found on a bounded sample of training texts.
+language's calibrated bound, found from quantiles over all its training texts;
+a language with few of them has at least the bound of all languages together.
 
 Characters are lower-cased letters, every run of others is one space; so case,
 digits, symbols and mark-up are no evidence.
@@ -44,9 +45,10 @@ FLUSH_TYPES = 1 << 20      # distinct n-grams that a counting task holds
 PART_CELLS = 1 << 22       # (n-gram, language) cells of one part of the model
 HELD_CELLS = 1 << 23       # cells of all parts up to which a task keeps them loaded
 SCORE_CELLS = 1 << 23      # (n-gram, language) scores that a task holds at once
-CALIBRATION_DOCS = 4096    # training texts, about, on which rejection is calibrated
+CALIBRATION_DOCS = 30      # with fewer training texts a language has at least the pooled bound
 SHARPNESS = 8.0            # of the score: per nat of cross-entropy between languages
-REJECT_SPREADS = 8.0       # a bound is so many spreads above the mean entropy
+REJECT_SPREADS = 8.0       # a bound is so many spreads above the median entropy,
+REJECT_NATS = 1.0          # and so far above the entropy that 95 of 100 texts do not pass
 
 
 # -- characters ---------------------------------------------------------------
@@ -352,9 +354,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     all their n-grams."""
     train = bounded(docs).where(column(lang_col).isNotNull() & ~held_out(id_col)).select(
         column(lang_col).cast("string").alias("lang"),
-        F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
-        F.xxhash64(column(id_col)).alias("draw"))
-    named = count_grams(train.select("lang", "text")).persist()
+        F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    named = count_grams(train).persist()
     languages = sorted(r["lang"] for r in named.select("lang").distinct().collect())
     if not languages:
         named.unpersist()
@@ -384,35 +385,37 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 pack.append(part)
                 merged.cells += len(part.lang)
     send()
-    total = train.count()
-    sample = train.where(F.pmod("draw", F.lit(max(1, total // CALIBRATION_DOCS))) == 0).select(
-        F.lit(0).cast("long").alias("doc_id"), "lang", "text")
-    merged.bounds = _calibrated(sample, merged)
+    merged.bounds = _calibrated(train, merged)
     return merged
 
 
-def _calibrated(sample: DataFrame, models: Models) -> np.ndarray:
-    """Per language: an entropy that its own texts, of which ``sample`` holds a
-    bounded number, do not reach."""
-    m = models
+def _calibrated(train: DataFrame, models: Models) -> np.ndarray:
+    """Per language: an entropy that its own texts hardly reach.  Spread and
+    high quantile leave out the worst texts, which may be mislabelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE_BYTES):
-            entropy, letters = m.entropies(part.column("text").to_pylist())
+            entropy, letters = models.entropies(part.column("text").to_pylist())
             langs = part.column("lang").to_pylist()
-            own = [float(entropy[i, m.languages.index(x)]) if letters[i] >= 20 and x in m.languages else None
+            own = [float(entropy[i, models.languages.index(x)]) if letters[i] >= 20 and x in models.languages else None
                    for i, x in enumerate(langs)]
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(own, pa.float64())],
                                              names=["lang", "entropy"])
 
-    found = sample.select("lang", "text").mapInArrow(run, "lang string, entropy double").where("entropy is not null")
-    stats = {r["lang"]: r for r in found.groupBy("lang").agg(
-        F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("sd"), F.max("entropy").alias("max")).collect()}
-    out = np.full(len(models.languages), np.inf)
+    found = train.mapInArrow(run, "lang string, entropy double").where("entropy is not null")
+    quantiles = F.percentile_approx("entropy", [0.16, 0.5, 0.84, 0.95], 10_000).alias("q")
+    # a null language: all together
+    stats = {r["lang"]: r for r in found.rollup("lang").agg(quantiles, F.count(F.lit(1)).alias("texts")).collect()}
+
+    def bound(q: list[float]) -> float:
+        return max(q[1] + REJECT_SPREADS * (q[2] - q[0]) / 2, q[3] + REJECT_NATS)
+
+    pooled = bound(stats[None]["q"]) if None in stats and stats[None]["q"] else np.inf
+    out = np.full(len(models.languages), pooled)
     for i, lang in enumerate(models.languages):
         if lang in stats:
-            r = stats[lang]
-            out[i] = max(r["mean"] + REJECT_SPREADS * r["sd"], r["max"] + 1.0)
+            own = bound(stats[lang]["q"])
+            out[i] = own if stats[lang]["texts"] >= CALIBRATION_DOCS else max(own, pooled)
     return out
 
 

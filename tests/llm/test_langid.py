@@ -111,3 +111,17 @@ def test_all_n_grams_of_many_languages_are_in_the_model(spark, monkeypatch):
     assert len(got.packs) > 5
     got.cells = langid.HELD_CELLS + 1  # the parts are loaded in turn
     assert np.allclose(got.score(key), wanted.score(key), atol=1e-4)
+
+
+def test_rejection_of_rare_languages_and_with_a_mislabelled_text(spark, corpus):
+    en, de = (corpus[corpus.lang == x].text.tolist()[:150] for x in ("en", "de"))
+    train = [i for i in range(2000) if not held_out(i)]
+    rows = [(i, t, "en") for i, t in zip(train, en + ["漢字仮名交文章" * 40], strict=False)]
+    rows += [(i, t, "de") for i, t in zip(train[len(rows):], de, strict=False)]
+    rows.append((train[len(rows)], "öå äø", "xx"))  # too short to calibrate on
+    got = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.isfinite(got.bounds).all()
+    by = dict(zip(got.languages, got.bounds, strict=True))
+    strange = got.entropies(["ሰላምታለሁላችሁእንኳንደህና".encode() * 20])[0][0]
+    assert by["en"] < strange[got.languages.index("en")] and by["xx"] < strange.max()
+    assert langid.decide(got, ["ሰላምታለሁላችሁእንኳንደህና".encode() * 20])[3].all()
