@@ -138,15 +138,8 @@ def likeness(a: str, b: str) -> float:
     either still shows a character; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    rates = int(a[:2], 16), int(b[:2], 16)
-    rate = max(rates)
-    rows = []
-    for s, own in zip((a, b), rates, strict=True):
-        digits = np.frombuffer(s[2:].encode(), np.uint8)
-        if own < rate:  # nested: keep the digits of the coarser sample
-            power = _power(min(STEPS_PER_CHAR << 30, (len(digits) + 64) << (own + 2)))
-            digits = digits[_levels(power)[_sample(own, power)[:len(digits)]] >= rate]
-        rows.append(digits)
+    rate = max(int(a[:2], 16), int(b[:2], 16))
+    rows = [_at_rate(a, rate), _at_rate(b, rate)]
     size = max(map(len, rows))
     x, y = (np.concatenate([r, np.full(size - len(r), 48, np.uint8)]) for r in rows)
     shown = (x != 48) | (y != 48)
@@ -249,15 +242,51 @@ def compare_next(docs: DataFrame, share: int = 4, id_col: str = "doc_id", text_c
     return ordered.mapInArrow(run, schema)
 
 
-def near_groups(prints: DataFrame, threshold: float = 0.8, bands: int = 16, width: int = 6) -> DataFrame:
+def _at_rate(print_: str, rate: int) -> np.ndarray:
+    """Digits of a fingerprint in the sample of this rate or its own, if coarser."""
+    own, digits = int(print_[:2], 16), np.frombuffer(print_[2:].encode(), np.uint8)
+    if own < rate:  # nested: keep the digits of the coarser sample
+        power = _power(min(STEPS_PER_CHAR << 30, (len(digits) + 64) << (own + 2)))
+        digits = digits[_levels(power)[_sample(own, power)[:len(digits)]] >= rate]
+    return digits
+
+
+def alike_forest(prints: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that join all fingerprints whose ``likeness`` is at least
+    ``threshold``, possibly through others; every pair is compared."""
+    rates = np.array([int(x[:2], 16) for x in prints])
+    label = np.arange(len(prints))
+    for rate in np.unique(rates).tolist():  # pairs whose coarser rate is this
+        members = np.flatnonzero(rates <= rate)
+        rows = [_at_rate(prints[m], rate) for m in members]
+        digits = np.full((len(rows), max(map(len, rows))), 48, np.uint8)
+        for row, d in zip(digits, rows, strict=True):
+            row[:len(d)] = d
+        for a, i in enumerate(members.tolist()):
+            if rates[i] != rate:
+                continue
+            shown = (digits != 48) | (digits[a] != 48)
+            n, same = shown.sum(axis=1), ((digits == digits[a]) & shown).sum(axis=1)
+            near = (n > 0) & (same / np.maximum(n, 1) >= threshold)
+            for b in np.flatnonzero(n == 0).tolist():
+                near[b] = likeness(prints[i], prints[members[b]]) >= threshold
+            joined = np.unique(label[members[near]])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    linked = np.flatnonzero(label != np.arange(len(prints)))
+    return linked, label[linked]
+
+
+def near_groups(prints: DataFrame, threshold: float = 0.8, bands: int = 16, width: int = 6,
+                block: int = 512) -> DataFrame:
     """(doc_id, group): documents whose fingerprints (doc_id, fingerprint) agree
     in at least ``threshold`` of their digits, possibly through others; ``group``
     is the smallest fingerprint's number in ascending order of its hash.
 
     Candidates agree in one of ``bands`` samples of ``width`` digits.  Equal
-    fingerprints are grouped first.  In a band each fingerprint is verified
-    against the band's smallest member, never against all of them; a member
-    that fails is compared again under the other bands."""
+    fingerprints are grouped first.  All pairs that share a band are verified: a
+    band with over ``block`` members is dealt out in pairs of chunks, each of
+    which sends on a spanning forest of its links."""
     distinct = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies")).withColumn(
         "node", F.xxhash64("fingerprint"))
 
@@ -265,16 +294,36 @@ def near_groups(prints: DataFrame, threshold: float = 0.8, bands: int = 16, widt
     def keys(values: pd.Series) -> pd.Series:
         return pd.Series([band_keys(v, bands, width) for v in values])
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
-
     banded = cut_lineage(distinct.select("node", "fingerprint", F.explode(keys("fingerprint")).alias("band")))
-    heads = banded.groupBy("band").agg(F.min_by(F.struct("node", "fingerprint"), "node").alias("head"), F.count(F.lit(1)).alias("n"))
-    pairs = banded.join(heads.where("n > 1"), "band").where(F.col("node") != F.col("head.node"))
-    pairs = pairs.select("node", "fingerprint", "head").distinct()
-    edges = pairs.where(alike("fingerprint", "head.fingerprint") >= threshold).select(
-        F.col("node").alias("u"), F.col("head.node").alias("v"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    chunks = F.ceil(F.col("n") / block)
+    own = F.pmod(F.xxhash64("node"), chunks)
+    dealt = banded.join(sizes, "band").select(
+        "band", "node", "fingerprint", own.alias("own"),
+        F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other")).select(
+        "band", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1"), "node", "fingerprint")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None
+        for frame in frames:
+            if carry is not None:
+                frame = pd.concat([carry, frame], ignore_index=True)
+            keys = frame[["band", "c0", "c1"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            # the last group may go on in the next batch
+            carry = frame.iloc[cuts[-1]:]
+            for a, b in zip(cuts, cuts[1:]):
+                yield joined(frame.iloc[a:b])
+        if carry is not None and len(carry):
+            yield joined(carry)
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["node"].to_numpy()
+        u, v = alike_forest(group["fingerprint"].tolist(), threshold)
+        return pd.DataFrame({"u": nodes[u], "v": nodes[v]})
+
+    spread = dealt.repartition("band", "c0", "c1").sortWithinPartitions("band", "c0", "c1", "node")
+    edges = spread.mapInPandas(run, "u long, v long")
     nodes = connected_components(edges)
     grouped = distinct.join(nodes, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group"))
     return prints.join(grouped, "fingerprint").select("doc_id", "group")

@@ -92,3 +92,31 @@ def test_near_groups(spark):
     for r in editing.near_groups(prints, threshold=0.8).collect():
         groups.setdefault(r["group"], set()).add(r["doc_id"] // 10)
     assert all(len(x) == 1 for x in groups.values()) and len(groups) <= 14
+
+
+def test_groups_over_a_shared_template_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    template = " ".join(word() for _ in range(180))
+    texts = []
+    for _ in range(40):  # pairs nearly equal, over a form that fills most of each text
+        body = [word() for _ in range(110)]
+        texts += [template + " " + " ".join(body), template + " " + " ".join([*body[:-3], word(), word(), word()])]
+    prints = sorted(set(editing.fingerprints(texts)))
+    wanted = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if editing.likeness(prints[i], prints[j]) >= 0.8:
+                a, b = wanted[i], wanted[j]
+                wanted = [min(a, b) if x in (a, b) else x for x in wanted]
+    assert 30 < len(set(wanted)) < len(prints)  # families stay apart, their two texts are together
+    u, v = editing.alike_forest(prints, 0.8)
+    label = list(range(len(prints)))
+    for i, j in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    assert label == wanted
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    for block in (512, 16):
+        got = {r["doc_id"]: r["group"] for r in editing.near_groups(df, 0.8, block=block).collect()}
+        assert len(set(got.values())) == len(set(wanted)) == len({(got[i], wanted[i]) for i in got})
