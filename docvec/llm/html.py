@@ -43,7 +43,20 @@ BOILER_NAMES = set(
     "social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets alert alerts disclaimer "
     "replies respond reactions copyright paywall".split())
 OUTSIDE_ONLY = {"header", "masthead", "legal", "copyright", "alert", "alerts", "search"}
+# a class name with one of the first, or that ends in one of the second, says what a page has or lacks or is
+LACK_NAMES, PAGE_NAMES = {"no", "not", "has", "with", "without", "hide", "show"}, {"page", "layout", "template"}
+LASTING_TAGS = {"nav", "aside", "footer", "menu", "dialog"}  # marks that main text inside does not lift
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
+MAIN_PART = re.compile(r"""<main[\s>]|role\s*=\s*["']?main\b""", re.I)
+ARTICLE = re.compile(r"<article[\s>]", re.I)
+
+
+@dataclass
+class _Mark:
+    """A part that its tag or names mark; ``lifted`` when it holds the main part."""
+
+    lasting: bool
+    lifted: bool = False
 
 
 @dataclass
@@ -54,6 +67,7 @@ class Block:
     article: bool
     boiler: bool
     label: int | None = None
+    marks: tuple[_Mark, ...] = ()
 
     @property
     def density(self) -> float:
@@ -64,7 +78,7 @@ class Block:
 class _Part:
     tag: str
     article: bool
-    boiler: bool
+    marks: tuple[_Mark, ...]
     hidden: bool
     label: int | None = field(default=None)
 
@@ -72,10 +86,12 @@ class _Part:
 class BlockParser(HTMLParser):
     """Collects the flat blocks of one page."""
 
-    def __init__(self) -> None:
+    def __init__(self, main_tag: str = "main") -> None:
+        """``main_tag``: the tag that lifts marks of the parts around it."""
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.parts: list[_Part] = [_Part("", False, False, False)]
+        self.parts: list[_Part] = [_Part("", False, (), False)]
+        self.main_tag = main_tag
         self.data: list[str] = []
         self.links: list[str] = []
         self.in_link = 0
@@ -87,7 +103,7 @@ class BlockParser(HTMLParser):
             part = self.parts[-1]
             if not part.hidden:
                 self.blocks.append(Block(text, len(text.split()), len("".join(self.links).split()),
-                                         part.article, part.boiler, part.label))
+                                         part.article, False, part.label, part.marks))
         self.data, self.links = [], []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -110,18 +126,23 @@ class BlockParser(HTMLParser):
 
     def part(self, tag: str, attrs: dict) -> _Part:
         above = self.parts[-1]
-        names = set(re.findall(r"[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        named = [re.findall(r"[a-z]+", x) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
+        names = set().union(*(x for x in named if x and not LACK_NAMES & set(x) and x[-1] not in PAGE_NAMES)) if tag != "body" else set()
         article = above.article or tag in ("article", "main") or attrs.get("role") in ("main", "article")
         if article:
             names -= OUTSIDE_ONLY
-        boiler = (above.boiler or tag in BOILER_TAGS or (tag == "header" and not article)
+        if tag == self.main_tag or attrs.get("role") == "main":
+            for mark in above.marks:
+                mark.lifted = not mark.lasting
+        marked = (tag in BOILER_TAGS or (tag == "header" and not article)
                   or bool(names & BOILER_NAMES) or attrs.get("role") in BOILER_ROLES)
         if tag == "article" and not names & BOILER_NAMES:
-            boiler = above.boiler
+            marked = False
+        marks = (*above.marks, _Mark(tag in LASTING_TAGS)) if marked else above.marks
         style = (attrs.get("style") or "").replace(" ", "").lower()
         hidden = above.hidden or "hidden" in attrs or "display:none" in style
         label = attrs.get("data-main")
-        return _Part(tag, article, boiler, hidden, above.label if label is None else int(label))
+        return _Part(tag, article, marks, hidden, above.label if label is None else int(label))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID or tag in INLINE:
@@ -154,10 +175,14 @@ class BlockParser(HTMLParser):
 
 
 def blocks(html: str) -> list[Block]:
-    parser = BlockParser()
+    # without a main part, the only article of a page is its main text
+    sole = not MAIN_PART.search(html) and len(ARTICLE.findall(html)) == 1
+    parser = BlockParser("article" if sole else "main")
     parser.feed(html)
     parser.close()
     parser.flush()
+    for b in parser.blocks:  # a mark may be lifted after the first blocks of its part
+        b.boiler = any(not m.lifted for m in b.marks)
     return parser.blocks
 
 
@@ -205,6 +230,10 @@ LABELLED_PAGES = [
     f"""<body><div><a href=x>Up</a></div><div data-main=1>{LONG * 2}</div><div>Printed on paper</div>""",
     f"""<body><div>Wednesday</div><div data-main=1>{LONG}</div><div>Comments are closed</div><div>Send</div>""",
     f"""<body><div><a href=x>{LONG}</a></div><div data-main=1>{LONG}</div><div><a href=x>{LONG}</a></div>""",
+    f"""<body class="single no-sidebar"><div class="content with-sidebar" data-main=1><p>{LONG}<p>{LONG * 2}</div>
+    <div class=sidebar><p>{LONG}</p></div></body>""",
+    f"""<body><div id=search-results-page><div class=banner-box><article data-main=1><p>{LONG}<p>So be it.</article></div>
+    <div class=related><p>{LONG}</p></div></div></body>""",
     f"""<body><div><a href=x>One of our partners</a> <a href=x>{LONG}</a></div><div>Log in</div><div>Tags</div>""",
 ]
 

@@ -53,3 +53,25 @@ def test_rows_of_all_kinds(spark):
     got = {(r["page_id"], r["url"], r["n_chars"]) for r in html.extract(pages).collect()}
     assert got == {(1, "u", 1), (None, None, 0), (2, "v", 0), (3, "w", 79_999), (4, "w", 0)}
     assert html.extract(pages.where("false")).count() == 0
+
+
+def test_wrappers_that_hold_the_main_text_are_no_marks():
+    first, second = "The bridge was closed for the whole of the winter. " * 4, "It opened again in spring to the joy of all. " * 4
+    body = f"<p>{first}</p><p>{second}</p>"
+    for page in (
+        f"<body class='single no-sidebar'><div>{body}</div></body>",
+        f"<body class='sidebar'><div>{body}</div></body>",
+        f"<body><div class='content with-sidebar'>{body}</div></body>",
+        f"<body><div class='has-banner'>{body}</div></body>",
+        f"<body><div id='search-results-page'>{body}</div></body>",
+        f"<body><div class='widget-area'><article>{body}</article></div></body>",
+        f"<body><form><div class='share'><main>{body}</main></div></form></body>",
+    ):
+        assert html.main_text(page) == f"{first.strip()}\n{second.strip()}", page
+    for page in (
+        f"<body><main>{body}</main><div class=related><article><p>{first}</p></article></div></body>",
+        f"<body><article>{body}</article><div class=sidebar><p>{first}</p></div></body>",
+        f"<body><article>{body}</article><aside><p>{first}</p></aside></body>",
+        f"<body><div>{body}</div><div class=page-footer><p>{first}</p></div></body>",
+    ):
+        assert html.main_text(page) == f"{first.strip()}\n{second.strip()}", page
