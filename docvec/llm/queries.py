@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm import bpe, chat, editing, html, langid, mixing, quality, runindex, simhash, topk
+from docvec.llm import bpe, chat, editing, html, langid, mixing, quality, runindex, simhash, tokencount, topk
 from docvec.llm.common import table
 from docvec.session import cut_lineage
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
+COUNTED = "byte_bpe_50k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document, and whether it is over 512."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED), limit=512)
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -104,6 +110,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_html": op5_html,
     "op6_fingerprint": op6_fingerprint, "op7_langid": op7_langid, "op8_repeats": op8_repeats, "op9_topk": op9_topk,
-    "op10_quality": op10_quality,
+    "op10_quality": op10_quality, "op11_tokens": op11_tokens,
 }
 SQL: dict[str, str] = {"op9_topk": OP9_SQL}
