@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm import bpe, chat, editing, html, langid, mixing, quality, runindex, simhash, tokencount, topk
+from docvec.llm import bpe, chat, divergence, editing, html, langid, mixing, quality, runindex, simhash, tokencount, topk
 from docvec.llm.common import table
 from docvec.session import cut_lineage
 
@@ -89,6 +89,11 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED), limit=512)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language, and the terms they overuse."""
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -107,9 +112,39 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(c) AS n FROM k GROUP BY lang),
+c AS (SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS c FROM o JOIN k USING (lang, term) GROUP BY o.lang, o.source, o.term),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c,
+         (1 + (1000000000 * (coalesce(c.c, 0) + 5)) // (n.n + 5 * l.v))::BIGINT AS p,
+         (1 + (1000000000 * (k.c + 5)) // (l.n + 5 * l.v))::BIGINT AS q
+  FROM n JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_html": op5_html,
     "op6_fingerprint": op6_fingerprint, "op7_langid": op7_langid, "op8_repeats": op8_repeats, "op9_topk": op9_topk,
-    "op10_quality": op10_quality, "op11_tokens": op11_tokens,
+    "op10_quality": op10_quality, "op11_tokens": op11_tokens, "op12_divergence": op12_divergence,
 }
-SQL: dict[str, str] = {"op9_topk": OP9_SQL}
+SQL: dict[str, str] = {"op9_topk": OP9_SQL, "op12_divergence": OP12_SQL}
