@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm import bpe, chat, divergence, editing, html, langid, mixing, quality, runindex, simhash, tokencount, topk
+from docvec.llm import bpe, chat, divergence, editing, html, langid, mixing, quality, runindex, simhash, tokencount, topk, whitening
 from docvec.llm.common import table
 from docvec.session import cut_lineage
 
@@ -94,6 +94,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 4 largest principal components, at variance 1."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=4, scale=256)
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -146,5 +151,6 @@ QUERIES = {
     "op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_html": op5_html,
     "op6_fingerprint": op6_fingerprint, "op7_langid": op7_langid, "op8_repeats": op8_repeats, "op9_topk": op9_topk,
     "op10_quality": op10_quality, "op11_tokens": op11_tokens, "op12_divergence": op12_divergence,
+    "op13_whitening": op13_whitening,
 }
 SQL: dict[str, str] = {"op9_topk": OP9_SQL, "op12_divergence": OP12_SQL}
