@@ -27,12 +27,18 @@ def _gathered(df: DataFrame, words: DataFrame, id_col: str, out: str) -> DataFra
     return df.select(id_col).join(per, id_col, "left").select(id_col, F.coalesce(F.col("_p.w"), none).alias(out))
 
 
+def _one_each(table: DataFrame, value: str) -> DataFrame:
+    """(w, value): one row per form, so that a form listed again does not
+    double words; of several values the first by bytes holds."""
+    return table.where(F.col(value).isNotNull()).groupBy(F.col("form").alias("w")).agg(F.min(value).alias(value))
+
+
 def expand_contractions(df: DataFrame, contractions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """T5: (id, text) of the default alphabet in lower case, contracted forms
     replaced word by word; the tokeniser comes after it."""
     t = F.lower(T.keep_chars(T.strip_email(text_col), "default"))
     words = _words(df, F.split(t, " "), id_col).join(
-        contractions.select(F.col("form").alias("w"), "expansion"), "w", "left")
+        _one_each(contractions, "expansion"), "w", "left")
     words = words.select(id_col, "pos", F.coalesce("expansion", "w").alias("w"))
     return _gathered(df, words, id_col, "_w").select(id_col, F.array_join("_w", " ").alias(text_col))
 
@@ -47,7 +53,7 @@ def lemmatize(df: DataFrame, lemmas: DataFrame, id_col: str = "doc_id", tokens_c
     """Noun, then verb, then adjective look-up; unknown forms unchanged."""
     words = _words(df, F.col(tokens_col), id_col)
     for pos in ("n", "v", "a"):
-        known = lemmas.where(F.col("pos") == pos).select(F.col("form").alias("w"), "lemma")
+        known = _one_each(lemmas.where(F.col("pos") == pos), "lemma")
         words = words.join(known, "w", "left").select(id_col, "pos", F.coalesce("lemma", "w").alias("w"))
     return _gathered(df, words, id_col, tokens_col)
 

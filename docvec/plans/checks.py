@@ -18,6 +18,7 @@ from docvec.session import load
 
 ATOMS = 8          # the dictionary of the coding checks: the first vectors of the table
 LDA_TOPICS = 100
+TEST_SHARE = 0.2   # of the rows, in the repeated hold-out runs
 
 
 # ---------------------------------------------------------------- text and grids
@@ -102,7 +103,7 @@ def e13_topic_mixtures(spark, sf):
     from docvec.operators.embedders import LDA
     from docvec.plans.methods import _corpus
     c = _corpus(spark, sf)
-    t = LDA(k=LDA_TOPICS, max_iter=2).fit(c).transform(c).select("doc_id", vector_to_array("features").alias("v"))
+    t = LDA(k=LDA_TOPICS, max_iter=10).fit(c).transform(c).select("doc_id", vector_to_array("features").alias("v"))
     return t.select("doc_id", F.size("v").cast("long").alias("n_topics"),
                     F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("mix"))
 
@@ -159,7 +160,7 @@ def m_tfidf_knn_tt(spark, sf):
     """X3 + C3: five repeats of TF-IDF + nearest neighbours on a hold-out."""
     from docvec.plans.methods import _corpus
     from docvec.plans.runner import build_methods, train_test
-    c = splits.holdout(_corpus(spark, sf), Q.HOLDOUT, Q.SEED, "doc_id")
+    c = splits.holdout(_corpus(spark, sf), TEST_SHARE, Q.SEED, "doc_id")
     c = c.withColumn("split", F.when(F.col("split") == "val", "test").otherwise("train"))
     runs, _, _ = train_test(spark, c, {"tfidf": build_methods()["tfidf"]}, repeats=5, classifier="knn")
     test = c.where("split = 'test'").select("target", F.explode(F.expr("sequence(1L, 5L)")).alias("run"))
@@ -248,7 +249,7 @@ SQL: dict[str, str] = {
         c AS (SELECT run, target, count(*) AS n FROM f GROUP BY 1, 2)
         SELECT run::BIGINT AS run, sum(n)::BIGINT AS n_test, {_SHARE}, true AS svm_beats_majority FROM c GROUP BY run""",
     "m_tfidf_knn_tt": f"""WITH r AS (SELECT lang, row_number() OVER (ORDER BY {Q._SHUF}, doc_id) AS pos, count(*) OVER () AS n FROM documents),
-        c AS (SELECT lang, count(*) AS n FROM r WHERE pos > n - floor({Q.HOLDOUT} * n) GROUP BY lang)
+        c AS (SELECT lang, count(*) AS n FROM r WHERE pos > n - floor({TEST_SHARE} * n) GROUP BY lang)
         SELECT range::BIGINT AS run, sum(n)::BIGINT AS n_test, {_SHARE}, true AS knn_beats_majority FROM c, range(1, 6) GROUP BY range""",
     "m_doc2vec_dm": "SELECT doc_id, 100::BIGINT AS n_dims, true AS finite FROM documents",
     "m_doc2vec_dbow": "SELECT doc_id, 100::BIGINT AS n_dims, true AS finite FROM documents",

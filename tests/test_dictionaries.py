@@ -43,3 +43,13 @@ def test_empty_documents_stay(spark):
     toks = docs.select("doc_id", F.expr("cast(array() as array<string>)").alias("tokens"))
     words = spark.createDataFrame([("x",)], "word string")
     assert collected(D.remove_stopwords(toks, words), "tokens") == {i: [] for i, _ in ROWS}
+
+
+def test_repeated_dictionary_rows_do_not_double_words(spark):
+    docs = spark.createDataFrame([(1, "it isnt so")], "doc_id long, text string")
+    forms = spark.createDataFrame([("isnt", "is not"), ("isnt", "is not"), ("isnt", "not is"), ("so", None)], "form string, expansion string")
+    assert D.expand_contractions(docs, forms).first()["text"] == "it is not so"
+    tokens = spark.createDataFrame([(1, ["mice", "ran"])], "doc_id long, tokens array<string>")
+    lemmas = spark.createDataFrame([("mice", "n", "mouse"), ("mice", "n", "mouse"), ("ran", "v", "run"), ("ran", "v", "rin")],
+                                   "form string, pos string, lemma string")
+    assert D.lemmatize(tokens, lemmas).first()["tokens"] == ["mouse", "rin"]

@@ -68,3 +68,24 @@ def test_top_k_per_group_skewed(spark):
     top = top_k_per_group(df, ["g"], 3, [F.desc("v"), F.asc("id")], salts=16).collect()
     got = sorted((r["g"], r["rank"], r["id"]) for r in top)
     assert got == [("cold", 1, 0), ("cold", 2, 1), ("cold", 3, 2), ("hot", 1, 499), ("hot", 2, 498), ("hot", 3, 497)]
+
+
+def test_splits_keep_rows_with_null_and_repeated_ids(spark):
+    rows = [(1, "a", "x"), (1, "b", "x"), (1, "b", "x"), (None, "c", "y"), (None, "d", "y"), (2, "e", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    for split in (lambda d: splits.kfold(d, 3), lambda d: splits.holdout(d, 0.34), splits.positional_split):
+        got = split(df)
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(key, got.select(df.columns).collect())) == sorted(map(key, rows))
+    assert sorted(r["n"] for r in splits.kfold(df, 3).groupBy("fold").agg(F.count("*").alias("n")).collect()) == [2, 2, 2]
+
+
+def test_null_labels_are_no_class_and_keep_their_rows(spark):
+    from docvec.sources.corpus import from_table
+
+    df = spark.createDataFrame([(1, "t", "b"), (2, "t", None), (3, "t", "a"), (4, "t", "b")], "doc_id long, text string, lang string")
+    indexed = splits.label_index(df, "lang")
+    assert {r["doc_id"]: r["target"] for r in indexed.collect()} == {1: 1, 2: None, 3: 0, 4: 1}
+    hot = splits.one_hot(indexed, "target")
+    assert {r["doc_id"]: r["onehot"] for r in hot.collect()} == {1: [0, 1], 2: [0, 0], 3: [1, 0], 4: [0, 1]}
+    assert {r["doc_id"]: r["target"] for r in from_table(df, "doc_id", "text", "lang").collect()} == {1: 1, 2: None, 3: 0, 4: 1}
