@@ -23,11 +23,11 @@ A piece of any length costs O(n log n) time and about 60 bytes of memory per byt
 
 from __future__ import annotations
 
-import heapq
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -38,6 +38,9 @@ from docvec.llm.common import slices, text_rows
 CACHE_PIECES = 1 << 17   # pieces kept per Python worker, in each of two generations
 CACHE_LENGTH = 64        # longer pieces are not kept
 LIST_CHARS = 1 << 20     # texts up to this length are cut into a list at once
+UNSAFE = 1 << 62         # more than any count
+WIDE_BYTES = 1 << 12     # longer pieces are kept in compact arrays
+GONE = 1 << 30           # the symbol of an unlinked place: no rule knows it
 
 # Fixed value: the published pattern of byte-level BPE pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,55 +75,53 @@ class Counter:
         self.start = [0] * 256
         for char, byte in byte_symbols().items():
             self.start[byte] = vocab[char]
-        #: (left symbol, right symbol) -> (rank, symbol they become), in one integer each
-        self.merges: dict[int, int] = {}
+        #: rank of each (left symbol, right symbol), in one integer, and the symbol that each rank makes
+        self.ranks: dict[int, int] = {}
+        self.makes: list[int] = []
         for rank, rule in enumerate(model["merges"]):
             left, right = rule.split(" ") if isinstance(rule, str) else rule
-            self.merges[vocab[left] << 32 | vocab[right]] = rank << 32 | vocab[left + right]
+            self.ranks[vocab[left] << 32 | vocab[right]] = rank
+            self.makes.append(vocab[left + right])
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.find = regex.compile(PIECES)
-        self.pieces = _Pieces(self)
+        self.pieces = _Kept(lambda piece: self.merged(piece.encode("utf-8")))
+        self.words = _Kept(lambda word: self._words(word, " "))
         self._known: set[str] = set()
         self._replaced: dict[str, str] = {}
 
     def merged(self, data: bytes) -> int:
         """Tokens of one piece: its symbols minus the merges made."""
         n = len(data)
-        if n < 2:
-            return n
-        merges, start = self.merges, self.start
-        symbol = array("q", [start[b] for b in data])
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-        heap = []  # rank << 64 | position << 32 | symbol that the merge makes
-        for i in range(n - 1):
-            rule = merges.get(symbol[i] << 32 | symbol[i + 1])
-            if rule is not None:
-                heap.append(rule >> 32 << 64 | i << 32 | rule & 0xFFFFFFFF)
-        heapq.heapify(heap)
+        ranks, makes, start = self.ranks.get, self.makes, self.start
+        symbol, after, before = [start[b] for b in data], range(1, n + 1), range(-1, n - 1)
+        if n > WIDE_BYTES:
+            symbol, after, before = array("q", symbol), array("q", after), array("q", before)
+        else:
+            after, before = list(after), list(before)
+        bits = n.bit_length()  # an entry is rank << bits | position
+        place = (1 << bits) - 1
+        heap = [rank << bits | i for i in range(n - 1)
+                if (rank := ranks(symbol[i] << 32 | symbol[i + 1])) is not None]
+        heapify(heap)
         made = 0
         while heap:
-            entry = heapq.heappop(heap)
-            i, new = entry >> 32 & 0xFFFFFFFF, entry & 0xFFFFFFFF
+            entry = heappop(heap)
+            i, rank = entry & place, entry >> bits
             j = after[i]
-            if symbol[i] < 0 or j >= n:
-                continue
-            rule = merges.get(symbol[i] << 32 | symbol[j])
-            if rule is None or rule & 0xFFFFFFFF != new:
+            if j >= n or ranks(symbol[i] << 32 | symbol[j]) != rank:
                 continue  # one of the two has become another symbol
             made += 1
-            symbol[i], symbol[j] = new, -1
+            new = symbol[i] = makes[rank]
+            symbol[j] = GONE
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rule = merges.get(new << 32 | symbol[k])
-                if rule is not None:
-                    heapq.heappush(heap, rule >> 32 << 64 | i << 32 | rule & 0xFFFFFFFF)
+                if (rank := ranks(new << 32 | symbol[k])) is not None:
+                    heappush(heap, rank << bits | i)
             h = before[i]
-            if h >= 0:
-                rule = merges.get(symbol[h] << 32 | new)
-                if rule is not None:
-                    heapq.heappush(heap, rule >> 32 << 64 | h << 32 | rule & 0xFFFFFFFF)
+            if h >= 0 and (rank := ranks(symbol[h] << 32 | new)) is not None:
+                heappush(heap, rank << bits | h)
         return n - made
 
     def _meet(self, chars: set[str]) -> None:
@@ -153,9 +154,22 @@ class Counter:
             if self._replaced and not self._replaced.keys().isdisjoint(chars):
                 return sum(map(self.pieces.__getitem__, self._cut(text)))
         if len(text) <= LIST_CHARS:
-            return sum(map(self.pieces.__getitem__, self.find.findall(text)))
+            # a space between two other characters starts a piece, so words can be counted apart
+            first, *words = text.split(" ")
+            total = self._words(first) + sum(map(self.words.__getitem__, words)) if words else UNSAFE
+            return total if total < UNSAFE else self._pieces_of(text)
         return sum(self.pieces[m.group()] for m in self.find.finditer(text))
 
+    def _pieces_of(self, text: str) -> int:
+        return sum(map(self.pieces.__getitem__, self.find.findall(text)))
+
+    def _words(self, word: str, before: str = "") -> int:
+        """Tokens of a word between spaces, with the space before it; UNSAFE if
+        white space at its ends could be one piece with those spaces."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return UNSAFE
+        return self._pieces_of(before + word)
+
     def count(self, text: str) -> int:
         if self.added is None:
             return self._plain(text)
@@ -166,22 +180,22 @@ class Counter:
         return total + self._plain(text[at:] if at else text)
 
 
-class _Pieces(dict):
-    """Tokens by piece; at CACHE_PIECES entries the older half goes."""
+class _Kept(dict):
+    """Numbers by string; at CACHE_PIECES entries the older half goes."""
 
-    def __init__(self, counter: Counter):
+    def __init__(self, make: Callable[[str], int]):
         super().__init__()
-        self.counter, self.old = counter, {}
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> int:
-        n = self.old.get(piece)
+    def __missing__(self, key: str) -> int:
+        n = self.old.get(key)
         if n is None:
-            n = self.counter.merged(piece.encode("utf-8"))
-        if len(piece) <= CACHE_LENGTH:
+            n = self.make(key)
+        if len(key) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = n
+            self[key] = n
         return n
 
 

@@ -53,6 +53,13 @@ def test_texts_beyond_the_list_bound(own, public, monkeypatch):
     assert own.count(text) == library(public, text)
 
 
+def test_white_space_beside_spaces(own, public):
+    rng = random.Random(12)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b1", " ", " ", "\n", "\t", "'s", "\x1c", "\x85", "é", "!"]) for _ in range(rng.randint(0, 12)))
+        assert own.count(text) == library(public, text), repr(text)
+
+
 def test_full_cache_gives_the_same_counts(public, monkeypatch):
     monkeypatch.setattr(tokencount, "CACHE_PIECES", 3)
     small = tokencount.Counter(VOCAB)
