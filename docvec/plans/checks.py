@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from docvec.functions import text as T
 from docvec.operators import classify, splits, vocab, wordvec
+from docvec.operators.blocks import row_of
 from docvec.plans import queries as Q
 from docvec.plans import sqltext as S
 from docvec.session import load
 
 ATOMS = 8          # the dictionary of the coding checks: the first vectors of the table
 LDA_TOPICS = 100
+STEP_TOPICS = 4
 TEST_SHARE = 0.2   # of the rows, in the repeated hold-out runs
 
 
@@ -108,6 +110,27 @@ def e13_topic_mixtures(spark, sf):
                     F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("mix"))
 
 
+def e13_lda_step(spark, sf):
+    """Topic shares after one full step of batch LDA from given topic weights,
+    one pass over the documents' mixtures each time."""
+    from docvec.operators.embedders import LDA
+    from docvec.plans.methods import _corpus
+    c = _corpus(spark, sf)
+    part = lambda t: F.conv(F.substring(F.md5(F.concat("term", F.lit(f"-{t}"))), 1, 4), 16, 10).cast("double")
+    terms = Q._tokens(spark, sf).select(F.explode("tokens").alias("term")).distinct()
+    start = terms.select("term", F.array(*[0.5 + part(t) / 65536.0 for t in range(STEP_TOPICS)]).alias("w"))
+    m = LDA(k=STEP_TOPICS, max_iter=1, max_doc_iter=1, start=start.select("term", row_of("w").alias("row"))).fit(c)
+    t = m.transform(c).select("doc_id", F.posexplode(vector_to_array("features")).alias("topic", "share"))
+    return t.select("doc_id", F.col("topic").cast("long").alias("topic"), F.round("share", 6).alias("share"))
+
+
+def _psi(x: str) -> str:
+    """Digamma in SQL: recurrence over eight steps, then the asymptotic series."""
+    y = f"(({x}) + 8.0)"
+    series = "".join(f" {sign} 1.0 / ({d} * {y} ** {p})" for sign, d, p in (("-", 12, 2), ("+", 120, 4), ("-", 252, 6), ("+", 240, 8), ("-", 132, 10)))
+    return f"(ln{y} - 0.5 / {y}{series}" + "".join(f" - 1.0 / (({x}) + {j}.0)" for j in range(8)) + ")"
+
+
 def e17_attention_w(spark, sf):
     """Pooling with a projection that mixes neighbouring coordinates."""
     from docvec.operators.attention import attention_pool
@@ -226,8 +249,26 @@ SQL: dict[str, str] = {
         m AS (SELECT i, avg(x) AS m FROM e GROUP BY i)
         SELECT vec_id, round(sum((x - m) * (x - m)), 6) AS sq_norm FROM e JOIN m USING (i) GROUP BY vec_id""",
     "e13_topic_mixtures": f"""WITH {Q._BOW_VOCAB.format(tok=Q._TOKSWV)}, k AS (SELECT DISTINCT doc_id FROM dtm JOIN voc USING (term))
-        SELECT d.doc_id, {LDA_TOPICS}::BIGINT AS n_topics, CASE WHEN k.doc_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS mix
-        FROM documents d LEFT JOIN k USING (doc_id)""",
+        SELECT d.doc_id, {LDA_TOPICS}::BIGINT AS n_topics, 1.0::DOUBLE AS mix FROM documents d LEFT JOIN k USING (doc_id)""",
+    "e13_lda_step": f"""WITH {Q._BOW_VOCAB.format(tok=Q._TOKSWV)}, t AS (SELECT range AS topic FROM range({STEP_TOPICS})),
+        c AS MATERIALIZED (SELECT doc_id, term, n FROM dtm JOIN voc USING (term)),
+        l0 AS MATERIALIZED (SELECT term, topic, 0.5 + ('0x' || substr(md5(term || '-' || topic), 1, 4))::INT / 65536.0::DOUBLE AS l
+                            FROM (SELECT DISTINCT term FROM c), t),
+        s0 AS (SELECT topic, {_psi("sum(l)")} AS s FROM l0 GROUP BY topic),
+        b0 AS MATERIALIZED (SELECT term, topic, exp({_psi("l")} - s) AS b FROM l0 JOIN s0 USING (topic)),
+        r0 AS (SELECT term, topic, b, b / sum(b) OVER (PARTITION BY term) AS r FROM b0),
+        g0 AS (SELECT doc_id, topic, 1.0 / {STEP_TOPICS} + sum(n * r) AS g FROM c JOIN r0 USING (term) GROUP BY 1, 2),
+        th AS (SELECT doc_id, topic, exp({_psi("g")} - {_psi("sum(g) OVER (PARTITION BY doc_id)")}) AS th FROM g0),
+        e AS (SELECT c.doc_id, c.term, b0.topic, c.n, th.th * b0.b AS p, sum(th.th * b0.b) OVER (PARTITION BY c.doc_id, c.term) AS norm
+              FROM c JOIN b0 USING (term) JOIN th ON th.doc_id = c.doc_id AND th.topic = b0.topic),
+        l1 AS MATERIALIZED (SELECT term, topic, 1.0 / {STEP_TOPICS} + sum(n * p / norm) AS l FROM e GROUP BY 1, 2),
+        s1 AS (SELECT topic, {_psi("sum(l)")} AS s FROM l1 GROUP BY topic),
+        b1 AS (SELECT term, topic, exp({_psi("l")} - s) AS b FROM l1 JOIN s1 USING (topic)),
+        r1 AS (SELECT term, topic, b / sum(b) OVER (PARTITION BY term) AS r FROM b1),
+        g1 AS (SELECT doc_id, topic, sum(n * r) AS g FROM c JOIN r1 USING (term) GROUP BY 1, 2),
+        a AS (SELECT d.doc_id, t.topic, 1.0 / {STEP_TOPICS} + coalesce(g, 0.0) AS g FROM documents d CROSS JOIN t
+              LEFT JOIN g1 ON g1.doc_id = d.doc_id AND g1.topic = t.topic)
+        SELECT doc_id, topic::BIGINT AS topic, round(g / sum(g) OVER (PARTITION BY doc_id), 6) AS share FROM a""",
     "e17_attention_w": f"""WITH wv AS {Q._WV},
         d AS (SELECT len(embedding) AS d FROM embeddings LIMIT 1),
         t AS (SELECT tk.doc_id, coalesce(wv.vec, list_transform(range(0, d.d), lambda i: 0.0::DOUBLE)) AS vec
