@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.session import cut_lineage
+from docvec.session import written
 
 HELD_NUMBERS = 1 << 23   # numbers of returned rows that a task adds up before it passes them on
 
@@ -124,7 +124,7 @@ def packed(df: DataFrame, keys: str, limit: int, split: bool = False) -> DataFra
             yield flush()
 
     rows = df.withColumn(keys, F.coalesce(F.col(keys), F.expr(f"cast(array() as array<{kind}>)")))
-    return cut_lineage(rows.mapInArrow(run, f"block long, rows binary, keys array<{kind}>"))
+    return written(rows.mapInArrow(run, f"block long, rows binary, keys array<{kind}>"))
 
 
 def _offsets(lists: pa.ListArray) -> pa.Array:

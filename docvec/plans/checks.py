@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docvec.functions import text as T
 from docvec.operators import classify, splits, vocab, wordvec
-from docvec.operators.blocks import row_of
+from docvec.operators.blocks import array_of, row_of
 from docvec.plans import queries as Q
 from docvec.plans import sqltext as S
 from docvec.session import load
@@ -179,6 +179,17 @@ def m_bow_svm_cv(spark, sf):
     return _beats(runs, folds.withColumn("run", F.col("fold").cast("long")), "svm_beats_majority")
 
 
+def c2_svm_weights(spark, sf):
+    """C2 on rows whose only feature names their class: every margin is met and
+    the weights have a closed form."""
+    from docvec.operators.svm import BIAS, LinearSVM
+    y = splits.label_index(load(spark, sf, "documents").select("doc_id", "lang"), "lang")
+    one = F.struct(F.array(F.col("target").cast("long")).alias("i"), F.array(F.lit(1.0)).alias("v"))
+    m = LinearSVM(tol=1e-9).fit(y.select("doc_id", one.alias("vec"), "target"))
+    w = m.weights.select(F.col("key").alias("feature"), F.posexplode(array_of("row")).alias("class", "weight"))
+    return w.select(F.col("class").cast("long").alias("class"), "feature", (F.col("feature") == BIAS).alias("is_bias"), F.round("weight", 3).alias("weight"))
+
+
 def m_tfidf_knn_tt(spark, sf):
     """X3 + C3: five repeats of TF-IDF + nearest neighbours on a hold-out."""
     from docvec.plans.methods import _corpus
@@ -289,6 +300,11 @@ SQL: dict[str, str] = {
     "m_bow_svm_cv": f"""WITH f AS (SELECT target, ntile({Q.FOLDS}) OVER (ORDER BY doc_id) AS run FROM {_CLASS}),
         c AS (SELECT run, target, count(*) AS n FROM f GROUP BY 1, 2)
         SELECT run::BIGINT AS run, sum(n)::BIGINT AS n_test, {_SHARE}, true AS svm_beats_majority FROM c GROUP BY run""",
+    "c2_svm_weights": """WITH k AS (SELECT count(DISTINCT lang) AS k FROM documents),
+        b AS (SELECT k, (2.0 - k) / (k + 1.0) AS b FROM k),
+        f AS (SELECT b.k, b.b, c.range AS class, g.range - 1 AS feature FROM b, range(0, (SELECT k FROM k)) c, range(0, (SELECT k + 1 FROM k)) g)
+        SELECT class::BIGINT AS class, feature::BIGINT AS feature, feature = -1 AS is_bias,
+          round(CASE WHEN feature = -1 THEN b WHEN feature = class THEN 1.0 - b ELSE -1.0 - b END, 3)::DOUBLE AS weight FROM f""",
     "m_tfidf_knn_tt": f"""WITH r AS (SELECT lang, row_number() OVER (ORDER BY {Q._SHUF}, doc_id) AS pos, count(*) OVER () AS n FROM documents),
         c AS (SELECT lang, count(*) AS n FROM r WHERE pos > n - floor({TEST_SHARE} * n) GROUP BY lang)
         SELECT range::BIGINT AS run, sum(n)::BIGINT AS n_test, {_SHARE}, true AS knn_beats_majority FROM c, range(1, 6) GROUP BY range""",

@@ -20,7 +20,7 @@ def test_entry_and_registry(spark):
 
 
 def test_bow_svm_separates_languages(spark, sf):
-    from docvec.operators.classify import LinearSVM
+    from docvec.operators.svm import LinearSVM
     from docvec.operators.embedders import BOW
     from docvec.sources.corpus import from_table
     c = from_table(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", "lang")
