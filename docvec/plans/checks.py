@@ -211,6 +211,20 @@ def _doc2vec(spark, sf, dm: bool) -> DataFrame:
     return v.select("doc_id", F.size("vec").cast("long").alias("n_dims"), finite.alias("finite"))
 
 
+def e15_dbow_step(spark, sf):
+    """E15 after one epoch of one step per document without negatives, a tag
+    for each document: the output vector of a word that only one document has
+    moved by half the rate times its count along that document's tag."""
+    from docvec.operators.doc2vec import Doc2Vec
+    c = Q._docs(spark, sf).select("doc_id", "text")
+    part = lambda j: F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f"-{j}"))), 1, 4), 16, 10).cast("double")
+    start = c.select(F.col("doc_id").alias("tag"), F.array(*[part(j) / 65536.0 - 0.5 for j in range(2)]).alias("vec"))
+    m = Doc2Vec(size=2, negative=0, epochs=1, dm=False, tag_col="doc_id", step=1 << 30, block_words=1 << 20, max_step_norm=None, start=start).fit(c)
+    df = Q._tokens(spark, sf).select("doc_id", F.explode("tokens").alias("word")).groupBy("word").agg(F.countDistinct("doc_id").alias("df"))
+    v = m.params.join(m.vocab, m.params["key"] == m.vocab["id"]).join(df.where("df = 1"), "word").select("word", "cf", array_of("row").alias("v"))
+    return v.select("word", F.col("cf").cast("long").alias("cf"), F.round(F.col("v")[2], 9).alias("out0"), F.round(F.col("v")[3], 9).alias("out1"))
+
+
 def m_doc2vec_dm(spark, sf):
     return _doc2vec(spark, sf, True)
 
@@ -308,6 +322,9 @@ SQL: dict[str, str] = {
     "m_tfidf_knn_tt": f"""WITH r AS (SELECT lang, row_number() OVER (ORDER BY {Q._SHUF}, doc_id) AS pos, count(*) OVER () AS n FROM documents),
         c AS (SELECT lang, count(*) AS n FROM r WHERE pos > n - floor({TEST_SHARE} * n) GROUP BY lang)
         SELECT range::BIGINT AS run, sum(n)::BIGINT AS n_test, {_SHARE}, true AS knn_beats_majority FROM c, range(1, 6) GROUP BY range""",
+    "e15_dbow_step": f"""WITH w AS (SELECT word, min(doc_id) AS doc_id, count(*) AS cf FROM {Q._TOKV} GROUP BY word HAVING count(DISTINCT doc_id) = 1)
+        SELECT word, cf::BIGINT AS cf, round(0.0125::DOUBLE * cf * (('0x' || substr(md5(doc_id || '-0'), 1, 4))::INT / 65536.0::DOUBLE - 0.5), 9) AS out0,
+          round(0.0125::DOUBLE * cf * (('0x' || substr(md5(doc_id || '-1'), 1, 4))::INT / 65536.0::DOUBLE - 0.5), 9) AS out1 FROM w""",
     "m_doc2vec_dm": "SELECT doc_id, 100::BIGINT AS n_dims, true AS finite FROM documents",
     "m_doc2vec_dbow": "SELECT doc_id, 100::BIGINT AS n_dims, true AS finite FROM documents",
 }

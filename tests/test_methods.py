@@ -47,15 +47,43 @@ def held_out_accuracy(x, y):
 
 @pytest.mark.parametrize("dm", [True, False])
 def test_doc2vec_tells_languages(corpus, dm):
-    x, y = vectors(Doc2Vec(size=32, epochs=8, dm=dm, partitions=4).fit(corpus), corpus)
+    x, y = vectors(Doc2Vec(size=32, epochs=8, dm=dm).fit(corpus), corpus)
     right, majority = held_out_accuracy(x, y)
     assert np.isfinite(x).all() and right > majority + 0.2
 
 
+def test_doc2vec_blocks_are_bounded_and_follow_the_input(corpus, monkeypatch):
+    """Twice the input gives about twice the blocks, none of them larger."""
+    from docvec.operators import blocks as B
+
+    seen = []
+    packed = B.packed
+    monkeypatch.setattr(B, "packed", lambda *a, **k: seen.append(packed(*a, **k)) or seen[-1])
+    monkeypatch.setattr("docvec.operators.doc2vec.dropped", lambda *a: None)
+    double = corpus.unionByName(corpus.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    for c in (corpus, double):
+        Doc2Vec(size=4, epochs=1, dm=False, block_words=2000).fit(c)
+    sizes = [[len(r["keys"]) for r in b.select("keys").collect()] for b in seen]
+    assert max(max(s) for s in sizes) <= 2000 and len(sizes[0]) > 16
+    assert 1.5 * len(sizes[0]) < len(sizes[1]) < 2.5 * len(sizes[0])
+
+
+def test_doc2vec_negatives_follow_the_corpus_counts(corpus):
+    m = Doc2Vec(size=4, epochs=0, pool=20_000).fit(corpus)
+    one = corpus.sparkSession.createDataFrame([(5, bytearray(), [0])], "block long, rows binary, keys array<bigint>")
+    got = {r["key"]: r["times"] for r in m._pools(one).collect()}
+    counts = {r["id"]: r["cf"] ** 0.75 for r in m.vocab.collect()}
+    whole = sum(counts.values())
+    assert sum(got.values()) == 20_000
+    for word in sorted(counts, key=counts.get)[-5:]:
+        want = 20_000 * counts[word] / whole
+        assert abs(got.get(word, 0) - want) < 6 * want ** 0.5
+
+
 def test_doc2vec_options(corpus):
     small = corpus.where("doc_id < 30")
     for options in ({"context": "sum"}, {"max_step_norm": None, "alpha": 0.005}, {"tag_col": "doc_id"}):
-        m = Doc2Vec(size=8, epochs=2, sync_every=1, partitions=2, **options).fit(small)
+        m = Doc2Vec(size=8, epochs=2, sync_every=1, **options).fit(small)
         assert np.isfinite(vectors(m, small)[0]).all()
     with pytest.raises(ValueError):
         Doc2Vec(context="max")
@@ -87,7 +115,7 @@ def test_save_and_load(spark, corpus, wv):
         "bow": (E.BOW(), E.BOW()), "tfidf": (E.TFIDF(), E.TFIDF()),
         "lsa": (E.LSA(k=5, n_iter=1), E.LSA()), "lda": (E.LDA(k=4, max_iter=2), E.LDA()),
         "sif": (E.SIF(wv, 64), E.SIF(None, 64)), "psif": (E.PSIF(wv, 64, 6, max_iter=2, out_dim=8), E.PSIF(None, 64)),
-        "d2v": (Doc2Vec(size=8, epochs=2, partitions=2), Doc2Vec()),
+        "d2v": (Doc2Vec(size=8, epochs=2), Doc2Vec()),
         "han": (HierarchicalAttention(wv, 64, 5, 10, epochs=1), HierarchicalAttention(None, 64)),
     }
     for name, (method, fresh) in made.items():
