@@ -11,10 +11,13 @@ rescored exactly.  If the segments run out first, the bounds have become the
 scores themselves.
 
 Rows: vectors that are null or hold null or non-finite components take no
-part, nor do rows without an id; rows that repeat an id count once (the
-smallest vector in array order); shorter vectors count as padded with zeros; an
-empty table gives an empty result; ties go to the smaller id.  Components must
-stay below 2^20 in magnitude after quantisation, so that scores are exact.
+part, nor do rows without an id; every row counts, also those that repeat an id
+(a query meets no row of its own id, and queries of one id share their k
+places); shorter vectors count as padded with zeros; an empty table gives an
+empty result; ties go to the smaller id.  Scores are exact: where doubles
+could round, the bounds allow for it and rescoring is in whole numbers.
+Components beyond +-2^62 after quantisation count as +-2^62, and a score beyond
+a long as the nearest long.
 """
 
 from __future__ import annotations
@@ -33,18 +36,23 @@ from docvec.session import cut_lineage
 SHARD_ROWS = 8192     # vectors in a shard, about
 QUERY_ROWS = 1024     # queries in a block, about
 CHUNK = 128           # queries scored at once against a shard
+LARGEST = 1 << 62
+LONG = (1 << 63) - 1
+ROUNDING = 1e-12
 SEGMENTS = (96, 64, 48, 32, 24, 16, 8, 1)  # smallest impact magnitude of each segment
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id",
               vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<int>): floor(scale * x) of each component x."""
+    """(vec_id, v array<bigint>, row): floor(scale * x) of each component x."""
     x = F.transform(column(vector_col), lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(column(id_col).cast("long").alias("vec_id"), x.alias("x"), bad.alias("bad"))
     rows = rows.where("vec_id is not null and x is not null and not bad")
-    v = F.transform("x", lambda c: F.floor(c * scale).cast("int"))
-    return rows.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    edge = F.lit(float(LARGEST))
+    v = F.transform("x", lambda c: F.floor(F.greatest(-edge, F.least(edge, c * scale))).cast("long"))
+    # rows are dealt by a number of their own, so that copies do not meet in one part
+    return rows.select("vec_id", v.alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
@@ -56,11 +64,11 @@ def _packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
         def flush() -> Iterator[pd.DataFrame]:
             f = pd.concat(held, ignore_index=True)
             width = max(map(len, f["v"]), default=0)
-            m = np.zeros((len(f), width), np.int32)
+            m = np.zeros((len(f), width), np.int64)
             for i, v in enumerate(f["v"]):
                 m[i, :len(v)] = v
             yield pd.DataFrame({"part": [f["part"].iloc[0]], "ids": [f["vec_id"].to_numpy("<i8").tobytes()],
-                                "vectors": [m.astype("<i4").tobytes()], "width": [width]})
+                                "vectors": [m.astype("<i8").tobytes()], "width": [width]})
 
         for frame in frames:
             for _, group in frame.groupby("part", sort=False):
@@ -71,25 +79,36 @@ def _packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
         if held:
             yield from flush()
 
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    dealt = dealt.repartition(min(parts, 4096), "part").sortWithinPartitions("part", "vec_id")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    dealt = dealt.repartition(min(parts, 4096), "part").sortWithinPartitions("part", "vec_id", "row")
     return dealt.mapInPandas(run, "part int, ids binary, vectors binary, width int")
 
 
 def _unpacked(ids: bytes, vectors: bytes, width: int, to: int) -> tuple[np.ndarray, np.ndarray]:
     keys = np.frombuffer(ids, "<i8")
-    m = np.zeros((len(keys), to), np.float64)
-    m[:, :width] = np.frombuffer(vectors, "<i4").reshape(len(keys), width)
+    m = np.zeros((len(keys), to), np.int64)
+    m[:, :width] = np.frombuffer(vectors, "<i8").reshape(len(keys), width)
     return keys, m
 
 
+def _exact(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``m`` with ``q`` in whole numbers."""
+    most = int(np.abs(m).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, len(q))
+    if most <= LONG:
+        return m @ q
+    whole = m.astype(object) @ q.astype(object)
+    return np.array([min(max(int(x), -LONG - 1), LONG) for x in whole], np.int64)
+
+
 class ImpactIndex:
     """Segments of one shard: per segment a (dimension x vector) matrix that
     holds the impacts of its postings, and the length of what is unseen after it."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.matrix = ids, matrix
+        self.ids, self.whole = ids, np.asarray(matrix).astype(np.int64)
+        matrix = self.whole.astype(np.float64)
         magnitude = np.abs(matrix)
+        self.length = np.sqrt((matrix * matrix).sum(axis=1))
         self.segments, self.unseen = [], []
         upper = np.inf
         for least in SEGMENTS:
@@ -104,6 +123,7 @@ class ImpactIndex:
         """(query id, vector ids, exact scores) of the k best, never the
         query's own id."""
         n = len(self.ids)
+        asked, queries = np.asarray(queries).astype(np.int64), np.asarray(queries).astype(np.float64)
         length = np.sqrt((queries * queries).sum(axis=1)) * (1 + 1e-9)
         own = q_ids[:, None] == self.ids[None, :]
         seen = np.zeros((len(queries), n))
@@ -111,7 +131,8 @@ class ImpactIndex:
         possible: dict[int, np.ndarray] = {}
         for segment, unseen in zip(self.segments, self.unseen, strict=True):
             seen[open_] += queries[open_] @ segment
-            slack = length[open_, None] * unseen[None, :]
+            # beyond 2^53 sums of doubles round: a share of |query| |vector| covers that
+            slack = length[open_, None] * (unseen + ROUNDING * self.length)[None, :]
             lower = np.where(own[open_], -np.inf, seen[open_] - slack)
             upper = np.where(own[open_], -np.inf, seen[open_] + slack)
             kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
@@ -127,7 +148,7 @@ class ImpactIndex:
             for i, q in enumerate(open_):  # all segments are in: the last bounds are the scores
                 possible[int(q)] = np.flatnonzero(last[i]) if self.segments else np.flatnonzero(~own[q])
         for q, members in possible.items():
-            scores = (self.matrix[members] @ queries[q]).astype(np.int64)
+            scores = _exact(self.whole[members], asked[q])
             best = np.lexsort((self.ids[members], -scores))[:k]
             yield int(q_ids[q]), self.ids[members[best]], scores[best]
 
@@ -138,7 +159,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     its k best rows of ``vectors`` by integer inner product, itself excepted.
     Blocks of queries meet shards of the index in tasks of a bounded size."""
     rows = cut_lineage(quantised(vectors, scale, id_col, vector_col))
-    asked = quantised(queries, scale, id_col, vector_col)
+    asked = cut_lineage(quantised(queries, scale, id_col, vector_col))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     index = _packed(rows, SHARD_ROWS, shards).withColumnRenamed("part", "shard")

@@ -13,6 +13,33 @@ def brute(ids, m, asked, k):
     return sorted(out)
 
 
+def brute_rows(rows, asked, k):
+    """Every row counts: the queries of one id share its k places."""
+    found = {}
+    for q, a in rows:
+        if asked(q):
+            found.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in rows if i != q)
+    return sorted((q, r + 1, v, -s) for q, x in found.items() for r, (s, v) in enumerate(sorted(x)[:k]))
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2**30, 2**30, 3) // 256]) for i in range(30)]
+    rows += [(30 + i, [float(2**22 + i), float(2**21 - i), 1.0]) for i in range(20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(table, table.where("vec_id % 10 = 0"), 5).collect())
+    assert got == brute_rows([(i, [int(256 * x) for x in v]) for i, v in rows], lambda i: i % 10 == 0, 5)
+
+
+def test_huge_components_do_not_end_the_job(spark):
+    rows = [(0, [3e38, 1.0]), (1, [1.0, 2.0]), (2, [-3e38, 0.0]), (50, [2.0**40, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.search(table, table.where("vec_id % 50 = 0"), 5).collect()}
+    long = 2**63 - 1  # scores at the edge are equal and go by id
+    assert got == {(0, 1, 1, long), (0, 2, 50, long), (0, 3, 2, -long - 1),
+                   (50, 1, 0, long), (50, 2, 1, 2**48 * 256 - 256 * 512), (50, 3, 2, -long - 1)}
+
+
 @pytest.mark.parametrize("spread", [1, 3, 40, 400])
 def test_index_stops_only_on_proof(spread):
     rng = np.random.default_rng(spread)
@@ -33,14 +60,11 @@ def test_rows_of_all_kinds(spark, monkeypatch):
              (None, [0.5]), (400, []), (450, [0.3]), (500, rows[50][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "'x' as part")
     got = sorted(tuple(r) for r in topk.search(table, table.where("vec_id % 50 = 0"), 5).collect())
-    clean = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            clean[i] = np.floor(256 * np.array(v + [0.0] * (6 - len(v)))).astype(np.int64)
-    ids = sorted(clean)
-    assert got == brute(ids, [clean[i] for i in ids], [i for i in ids if i % 50 == 0], 5)
-    few = table.where("vec_id in (0, 1, 2)")
-    assert topk.search(few, few.where("vec_id = 0"), 5).count() == 2
+    clean = [(i, np.floor(256 * np.array(v + [0.0] * (6 - len(v)))).astype(np.int64).tolist()) for i, v in rows
+             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    assert got == brute_rows(clean, lambda i: i % 50 == 0, 5)
+    few = table.where("vec_id in (1, 2, 3)")
+    assert topk.search(few, few.where("vec_id = 1"), 5).count() == 2
     empty = table.where("false")
     assert topk.search(empty, empty, 5).count() == 0
 
