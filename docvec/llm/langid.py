@@ -39,7 +39,7 @@ from docvec.session import cut_lineage
 
 ORDER = 4
 SPACE, START = 0x20, 0x01
-PIECE_BYTES = 1 << 20      # a longer text is scored in pieces of about this size
+PIECE_BYTES = 1 << 20      # a longer text is read in pieces of about this size
 SLICE_BYTES = 2 << 20      # text handled at once in a task
 FLUSH_TYPES = 1 << 20      # distinct n-grams that a counting task holds
 PART_CELLS = 1 << 22       # (n-gram, language) cells of one part of the model
@@ -75,33 +75,51 @@ def _pieces(text: bytes) -> Iterator[str]:
         at = end
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(4-gram ending at each character as four 16-bit classes in 64 bits, its
-    text's number, letters per text)."""
-    pieces, owner = [], []
-    for i, t in enumerate(texts):
-        for p in _pieces(t):
-            pieces.append(p)
-            owner.append(i)
-    if not pieces:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+def _grams(texts: list[str], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``grams``, and the last three classes; ``before`` holds the three that
+    the first text goes on from."""
     pad = "\x01" * (ORDER - 1)
     # lone surrogates cannot occur; the mark of a start is no letter, so no text holds it as one
-    codes = np.frombuffer((pad + pad.join(p.replace("\x01", " ") for p in pieces)).encode("utf-32-le"), "<u4")
+    codes = np.frombuffer((pad + pad.join(t.replace("\x01", " ") for t in texts)).encode("utf-32-le"), "<u4")
     classes = _classes()[codes]
-    start = codes == START
-    classes[start] = START
-    lengths = np.array([len(p) + ORDER - 1 for p in pieces])
-    which = np.repeat(np.array(owner), lengths)
+    classes[codes == START] = START
+    which = np.repeat(np.arange(len(texts)), [len(t) + ORDER - 1 for t in texts])
+    if before is not None:
+        classes[:ORDER - 1] = before
     keep = np.ones(len(classes), bool)
     keep[1:] = ~((classes[1:] == SPACE) & ((classes[:-1] == SPACE) | (classes[:-1] == START)))
     classes, which = classes[keep].astype(np.uint64), which[keep]
-    letters = np.bincount(which[(classes != SPACE) & (classes != START)], minlength=len(texts))
+    real = classes != START
+    if before is not None:
+        real[:ORDER - 1] = False
+    letters = np.bincount(which[real & (classes != SPACE)], minlength=len(texts))
     key = classes.copy()
     for back in range(1, ORDER):
         key[back:] |= classes[:-back] << np.uint64(16 * back)
-    real = classes != START
-    return key[real], which[real], letters
+    return key[real], which[real], letters, classes[1 - ORDER:]
+
+
+def gram_parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``grams`` of all texts in parts of bounded size: a text beyond
+    PIECE_BYTES goes on in each piece from the last characters of the one before."""
+    short = [t if len(t) <= PIECE_BYTES else b"" for t in texts]
+    if texts:
+        yield _grams([t.decode("utf-8", "replace") for t in short])[:3]
+    for i, t in enumerate(texts):
+        if len(t) > PIECE_BYTES:
+            before = None
+            for piece in _pieces(t):
+                key, which, letters, before = _grams([piece], before)
+                yield key, which + i, np.where(np.arange(len(texts)) == i, letters.sum(), 0)
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(4-gram ending at each character as four 16-bit classes in 64 bits, its
+    text's number, letters per text)."""
+    parts = list(gram_parts(texts))
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), sum(p[2] for p in parts)
 
 
 def _hash(key: np.ndarray) -> np.ndarray:
@@ -187,8 +205,15 @@ class Models:
 
     def entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy per character of each text in each language, letters)."""
-        key, which, letters = grams(texts)
-        total = np.zeros((len(texts), len(self.languages)))
+        total, n, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for key, which, some in gram_parts(texts):
+            self._add(total, key, which)
+            n += np.bincount(which, minlength=len(texts))
+            letters += some
+        return -total / np.maximum(n, 1)[:, None], letters
+
+    def _add(self, total: np.ndarray, key: np.ndarray, which: np.ndarray) -> None:
+        """Adds the log probabilities of n-grams to their texts' totals."""
         names, inverse = np.unique(key, return_inverse=True)
         room = max(1024, SCORE_CELLS // len(self.languages))
         for low in range(0, len(names), room):
@@ -199,8 +224,6 @@ class Models:
                 part, w = scores[inverse[some] - low], which[some]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(w)) + 1))
                 np.add.at(total, w[cuts], np.add.reduceat(part, cuts, axis=0, dtype=np.float64))
-        n = np.bincount(which, minlength=len(texts))
-        return -total / np.maximum(n, 1)[:, None], letters
 
 
 def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[dict]:
@@ -295,15 +318,15 @@ def count_grams(rows: DataFrame) -> DataFrame:
             langs = part.column("lang").to_pylist()
             texts = part.column("text").to_pylist()
             for lang in set(langs):
-                key, _, _ = grams([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                if not len(key):
-                    continue
-                parts = held.setdefault(lang, [])
-                parts.append(np.unique(key, return_counts=True))
-                if len(parts) >= 8:
-                    parts[:] = [summed(parts)]
-                    if len(parts[0][0]) > FLUSH_TYPES:
-                        yield rows_of(lang)
+                for key, _, _ in gram_parts([t for t, x in zip(texts, langs, strict=True) if x == lang]):
+                    if not len(key):
+                        continue
+                    parts = held.setdefault(lang, [])
+                    parts.append(np.unique(key, return_counts=True))
+                    if len(parts) >= 8:
+                        parts[:] = [summed(parts)]
+                        if len(parts[0][0]) > FLUSH_TYPES:
+                            yield rows_of(lang)
         for lang in list(held):
             yield rows_of(lang)
 

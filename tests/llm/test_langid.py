@@ -125,3 +125,15 @@ def test_rejection_of_rare_languages_and_with_a_mislabelled_text(spark, corpus):
     strange = got.entropies(["ሰላምታለሁላችሁእንኳንደህና".encode() * 20])[0][0]
     assert by["en"] < strange[got.languages.index("en")] and by["xx"] < strange.max()
     assert langid.decide(got, ["ሰላምታለሁላችሁእንኳንደህና".encode() * 20])[3].all()
+
+
+def test_long_texts_read_in_pieces_have_the_same_grams(monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = list("ab  .Éç漢\x01 ")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))).encode() for _ in range(200)]
+    whole = langid.grams(texts)
+    monkeypatch.setattr(langid, "PIECE_BYTES", 7)
+    key, which, n = langid.grams(texts)
+    for i in range(len(texts)):
+        assert key[which == i].tolist() == whole[0][whole[1] == i].tolist()
+    assert n.tolist() == whole[2].tolist()
