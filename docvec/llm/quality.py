@@ -41,7 +41,7 @@ ROUNDS = 120          # cycles over the features
 PAIR_ROUNDS = 40
 PAIRS = 6
 RATE = 0.15
-PART_BYTES = 1 << 20  # words are counted in parts of about this size
+PART_BYTES = 1 << 20  # words are taken up in parts of about this size
 
 FEATURES = ("chars", "words", "word_length", "capitals", "digits", "symbols", "exclaims", "pipes", "stops",
             "distinct", "top_word", "repeats", "line_length", "same_lines", "others")
@@ -54,26 +54,27 @@ for _b in range(256):
 
 
 def text_features(text: bytes) -> list[float]:
-    """FEATURES of one whole text.  Words are what white space parts; shares of
-    words (distinct, top_word, repeats) are means over parts of PART_BYTES."""
+    """FEATURES of one whole text.  Words are what white space parts; they are
+    counted over the whole text, taken up in parts of PART_BYTES."""
     histogram = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     kinds = np.bincount(_KIND, weights=histogram, minlength=7)
     n = max(1, len(text))
     letters = max(1.0, kinds[1] + kinds[2])
-    words = distinct = top = repeats = 0
-    at = 0
+    words = repeats = at = 0
+    counts: Counter = Counter()
+    last = None
     while at < len(text):
         end = at + PART_BYTES
         while end < len(text) and not text[end:end + 1].isspace():
             end += 1
         part = text[at:end].split()
         if part:
-            counts = Counter(part)
+            counts.update(part)
             words += len(part)
-            distinct += len(counts)
-            top += max(counts.values())
-            repeats += sum(a == b for a, b in zip(part, part[1:]))
+            repeats += (part[0] == last) + sum(a == b for a, b in zip(part, part[1:]))
+            last = part[-1]
         at = end
+    distinct, top = len(counts), max(counts.values(), default=0)
     lines = text.count(b"\n") + 1
     different = len(set(text.split(b"\n")))
     w = max(1, words)

@@ -58,3 +58,10 @@ def test_rows_of_all_kinds(spark):
     none = x.where("false")
     assert quality.score(none, quality.fit(none, labels, "true")).count() == 0
     assert {r["score"] for r in quality.score(x, quality.fit(x, labels.where("false"), "true")).collect()} == {0.5}
+
+
+def test_features_do_not_depend_on_the_parts(monkeypatch):
+    text = ("one one two three\n" * 40 + "two two " * 30 + "four").encode()
+    whole = quality.text_features(text)
+    monkeypatch.setattr(quality, "PART_BYTES", 11)
+    assert quality.text_features(text) == whole
