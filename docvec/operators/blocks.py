@@ -45,13 +45,13 @@ def packed_rows(m: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets.tobytes()), data])
 
 
-def row_of(column: str) -> Column:
+def row_of(column: str | Column) -> Column:
     """Column: an array of numbers as a packed row."""
     @F.pandas_udf("binary")
     def pack(arrays: pd.Series) -> pd.Series:
         return arrays.map(lambda a: np.asarray(a, "<f8").tobytes())
 
-    return pack(F.col(column).cast("array<double>"))
+    return pack((F.col(column) if isinstance(column, str) else column).cast("array<double>"))
 
 
 def array_of(column: str = "row") -> Column:

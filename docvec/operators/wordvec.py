@@ -7,11 +7,16 @@ collect is needed."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docvec.operators.blocks import Block, on_blocks, packed, row_of
 from docvec.session import cut_lineage
 
 # Smoothing constants of the two SIF variants.
@@ -98,6 +103,48 @@ def sentence_vectors(tok: DataFrame, wv: DataFrame, weights: DataFrame | None, d
     return sums.select(id_col, "sent_no", "n_words", scale(F.col("s"), 1.0 / denom).alias("vec"))
 
 
+BLOCK_WORDS = 1 << 17   # words of the documents that work together
+
+
+def document_words(df: DataFrame, sentences: Column, tokenize: Callable[[Column], Column], id_col: str = "doc_id") -> DataFrame:
+    """(id, words array<string>, lens array<int>): each document's words in
+    order, and the sizes of its sentences that have any."""
+    t = df.select(id_col, F.transform(sentences, lambda s: tokenize(s)).alias("_t"))
+    return t.select(id_col, F.flatten("_t").alias("words"), F.filter(F.transform("_t", F.size), lambda n: n > 0).alias("lens"))
+
+
+def sentence_means(rows: np.ndarray, lens: np.ndarray, min_len: int = 2) -> np.ndarray:
+    """E3 of one document: sums of its words' weighted vectors per sentence,
+    over max(number of words, ``min_len``)."""
+    starts = np.cumsum(lens) - lens
+    return np.add.reduceat(rows, starts, axis=0) / np.maximum(lens, min_len)[:, None]
+
+
+def on_documents(docs: DataFrame, table: DataFrame, dim: int, fn: Callable[[np.ndarray, np.ndarray], np.ndarray],
+                 id_col: str = "doc_id") -> DataFrame:
+    """(id, vec): ``fn(weighted vectors of the words, sizes of the sentences)``
+    of each row of ``docs`` (id, words, lens); zeros for one without words.
+    Documents work in blocks: the vector of a word travels once to each block
+    that has it, not once per document, sentence and word.
+
+    ``table``: (word, vec, weight); unknown words count as zero vectors."""
+    params = table.select(F.col("word").alias("key"), row_of(F.transform("vec", lambda x: x * F.col("weight"))).alias("row"))
+
+    def run(block: Block) -> pa.Table:
+        offsets, place = block.lists("words")
+        cuts, lens = block.lists("lens")
+        place, lens = place.astype(np.int64), lens.astype(np.int64)
+        out = np.zeros((len(offsets) - 1, dim))
+        for j in range(len(out)):
+            if offsets[j] < offsets[j + 1]:
+                out[j] = fn(block.params[place[offsets[j]:offsets[j + 1]]], lens[cuts[j]:cuts[j + 1]])
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
+        return pa.table({id_col: block.table.column(id_col), "vec": vec})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return on_blocks(packed(docs, "words", BLOCK_WORDS), params, dim, run, f"`{id_col}` {kind}, vec array<double>")
+
+
 def word_table(wv: DataFrame, weights: DataFrame | None) -> DataFrame:
     """(word, vec, weight) of the words with a vector, materialised: token
     counts then need one join with a plain table, in which Spark can split the
