@@ -12,7 +12,7 @@ from docvec.llm import bpe, langid, mixing, simhash
 def test_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeats", "mix", "tokens"]
 
 
