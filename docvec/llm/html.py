@@ -1,11 +1,18 @@
 """Main text of web pages from flat text blocks.
 
-A page becomes a flat list of blocks, cut at every block-level tag.  A block's
-features are its word count and link density, those of the blocks before and
-after it, and whether it stands in an article or in a part that its tags or
-class names mark as a menu, notice, form and the like.  A decision tree grown
-on the small labelled table below (blocks of a few labelled pages) says which
-blocks are main text.
+A page becomes a flat list of blocks, cut at the block-level tags; any other
+tag, known or not, stays in its line.  A block's features are its word count
+and link density, those of the blocks before and after it, whether it stands
+in an article, whether its tag is a heading's or a paragraph's, and how far the
+parts around it are marked as a menu, notice, form and the like.  A part is
+marked by its tag or by class names; a name that may as well stand on a wrapper
+of the whole page counts less the more of the page's words are below it.  A
+decision tree grown on the small labelled table below (blocks of a few labelled
+pages) says which blocks are main text.
+
+Reader comments without a mark begin at their heading ("3 Comments") and go on
+to the end of its part.  A menu that is never closed ends at the first heading,
+paragraph or article.  Fields and pictures (``SKIPPED``) have no text.
 
 Rows: null html counts as empty; its text is empty; repeated rows are each
 extracted on their own; ids and urls pass through, nulls included; an empty
@@ -27,36 +34,51 @@ from pyspark.sql import functions as F
 
 from docvec.llm.common import bounded, column, slices
 
-SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "title", "head",
-           "select", "textarea", "button", "option", "canvas", "audio", "video"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i",
-          "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub",
-          "sup", "time", "tt", "u", "var", "wbr"}
+SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "title", "head", "select", "datalist",
+           "textarea", "canvas", "audio", "video", "annotation", "annotation-xml"}
+RAW = {"script", "style", "textarea", "title"}  # the parser itself reads on to their end tag
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARAGRAPHS = {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption"}
 CONTAINERS = {"nav", "aside", "header", "footer", "form", "menu", "dialog", "article", "main", "section", "div",
-              "ul", "ol", "dl", "table", "fieldset", "blockquote", "figure", "body"}
-BOILER_TAGS = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset"}
-BOILER_NAMES = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies disqus footer legal login masthead menu modal nav navbar navigation newsletter notice notices notification "
-    "overlay pager pagination popup promo promoted promotion related recommended search share sharing sidebar signup "
-    "social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets alert alerts disclaimer "
-    "replies respond reactions copyright paywall".split())
-OUTSIDE_ONLY = {"header", "masthead", "legal", "copyright", "alert", "alerts", "search"}
+              "ul", "ol", "dl", "table", "fieldset", "blockquote", "figure", "body", "details", "search", "center"}
+BLOCKS = HEADINGS | PARAGRAPHS | CONTAINERS | {"address", "col", "colgroup", "hgroup", "hr", "html", "legend", "summary",
+                                               "tbody", "tfoot", "thead", "tr"}
+BOILER_TAGS = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset", "search"}
+# names that say what a part is, wherever it stands and however long it is
+SURE_NAMES = set(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie "
+    "cookies disqus footer login menu modal nav navbar navigation newsletter overlay pager pagination popup related "
+    "recommended replies respond reactions signup copyright paywall alert alerts disclaimer notice notices".split())
+# names that wrappers of a whole page or article carry too
+WEAK_NAMES = set(
+    "banner legal masthead notification promo promoted promotion search share sharing sidebar social sponsor "
+    "sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
+BOILER_NAMES = SURE_NAMES | WEAK_NAMES
+OUTSIDE_ONLY = {"header", "masthead", "legal", "copyright", "search"}
 # a class name with one of the first, or that ends in one of the second, says what a page has or lacks or is
-LACK_NAMES, PAGE_NAMES = {"no", "not", "has", "with", "without", "hide", "show"}, {"page", "layout", "template"}
+LACK_NAMES = {"no", "not", "has", "with", "without", "hide", "show"}
+PAGE_NAMES = {"page", "layout", "template", "theme", "enabled", "disabled", "active", "ready"}
 LASTING_TAGS = {"nav", "aside", "footer", "menu", "dialog"}  # marks that main text inside does not lift
+OPEN_TAGS = {"nav", "menu"}  # parts that hold neither an article nor a heading of the first rank
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
 MAIN_PART = re.compile(r"""<main[\s>]|role\s*=\s*["']?main\b""", re.I)
 ARTICLE = re.compile(r"<article[\s>]", re.I)
+COMMENTS = re.compile(r"(?:(?:\d+|no|leave an?|post an?|add an?|reader|all|write an?) )?(?:comments?|replies|reply|responses?)"
+                      r"(?: ?\(\d+\)| ?\d+)?:?", re.I)
 
 
-@dataclass
+@dataclass(eq=False)
 class _Mark:
-    """A part that its tag or names mark; ``lifted`` when it holds the main part."""
+    """A part that its tag or names mark; ``lifted`` when it holds the main
+    part; ``weak``: the names, if only such as wrappers carry too; ``open``: a
+    menu whose end tag has not come."""
 
     lasting: bool
+    weak: frozenset = frozenset()
     lifted: bool = False
+    open: bool = False
+    first: int = 0
 
 
 @dataclass
@@ -65,7 +87,8 @@ class Block:
     words: int
     linked: int
     article: bool
-    boiler: bool
+    kind: int  # 2 heading, 1 paragraph, list item or cell, 0 other
+    boiler: float = 0.0
     label: int | None = None
     marks: tuple[_Mark, ...] = ()
 
@@ -79,8 +102,8 @@ class _Part:
     tag: str
     article: bool
     marks: tuple[_Mark, ...]
-    hidden: bool
     label: int | None = field(default=None)
+    own: _Mark | None = None
 
 
 class BlockParser(HTMLParser):
@@ -90,43 +113,61 @@ class BlockParser(HTMLParser):
         """``main_tag``: the tag that lifts marks of the parts around it."""
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.parts: list[_Part] = [_Part("", False, (), False)]
+        self.parts: list[_Part] = [_Part("", False, ())]
         self.main_tag = main_tag
         self.data: list[str] = []
         self.links: list[str] = []
         self.in_link = 0
-        self.skipping: list[str] = []
+        self.kind = 0
+        self.skipping: list[str] = []  # the skipped element and what is open inside it
 
     def flush(self) -> None:
         text = " ".join("".join(self.data).split())
         if text:
             part = self.parts[-1]
-            if not part.hidden:
-                self.blocks.append(Block(text, len(text.split()), len("".join(self.links).split()),
-                                         part.article, False, part.label, part.marks))
+            if self.kind == 2 and COMMENTS.fullmatch(text):
+                part.marks = (*part.marks, _Mark(True))  # the rest of the part
+            self.blocks.append(Block(text, len(text.split()), len("".join(self.links).split()), part.article, self.kind,
+                                     label=part.label, marks=part.marks))
         self.data, self.links = [], []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.skipping and self.skipping[0] == "head" and (tag in BLOCKS or tag == "a"):
+            self.skipping.clear()  # a head that is not closed ends here
+        if self.skipping:
+            if tag not in VOID:
+                self.skipping.append(tag)
+            return
         if tag in SKIPPED:
             self.skipping.append(tag)
             return
-        if tag == "body":
-            self.skipping.clear()  # a head that is not closed ends here
-        if tag == "a":
+        if tag in ("a", "button"):
             self.in_link = 1
-        if tag in INLINE:
-            if tag in ("br", "wbr", "img"):
-                self.data.append(" " if tag != "wbr" else "")
+        if tag not in BLOCKS:
+            if tag in ("br", "img"):
+                self.data.append(" ")
                 if self.in_link:
                     self.links.append(" ")
             return
         self.flush()
+        self.kind = 2 if tag in HEADINGS else 1 if tag in PARAGRAPHS else 0
+        if tag in ("h1", "article", "main"):
+            self.close_menus()
         if tag in CONTAINERS:
             self.parts.append(self.part(tag, dict(attrs)))
 
+    def close_menus(self) -> None:
+        """Ends a menu that is still open where main text begins."""
+        for at, part in enumerate(self.parts):
+            if part.tag in OPEN_TAGS:
+                part.own.open = False
+                del self.parts[at:]
+                return
+
     def part(self, tag: str, attrs: dict) -> _Part:
         above = self.parts[-1]
-        named = [re.findall(r"[a-z]+", x) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
+        named = [[x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", c)]
+                 for c in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()]
         names = set().union(*(x for x in named if x and not LACK_NAMES & set(x) and x[-1] not in PAGE_NAMES)) if tag != "body" else set()
         article = above.article or tag in ("article", "main") or attrs.get("role") in ("main", "article")
         if article:
@@ -134,38 +175,44 @@ class BlockParser(HTMLParser):
         if tag == self.main_tag or attrs.get("role") == "main":
             for mark in above.marks:
                 mark.lifted = not mark.lasting
-        marked = (tag in BOILER_TAGS or (tag == "header" and not article)
-                  or bool(names & BOILER_NAMES) or attrs.get("role") in BOILER_ROLES)
+        by_tag = tag in BOILER_TAGS or (tag == "header" and not article) or attrs.get("role") in BOILER_ROLES
+        marked = by_tag or bool(names & BOILER_NAMES)
         if tag == "article" and not names & BOILER_NAMES:
             marked = False
-        marks = (*above.marks, _Mark(tag in LASTING_TAGS)) if marked else above.marks
-        style = (attrs.get("style") or "").replace(" ", "").lower()
-        hidden = above.hidden or "hidden" in attrs or "display:none" in style
         label = attrs.get("data-main")
-        return _Part(tag, article, marks, hidden, above.label if label is None else int(label))
+        label = above.label if label is None else int(label)
+        if not marked:
+            return _Part(tag, article, above.marks, label)
+        own = _Mark(tag in LASTING_TAGS, frozenset() if by_tag or names & SURE_NAMES else frozenset(names & WEAK_NAMES),
+                    open=tag in OPEN_TAGS, first=len(self.blocks))
+        return _Part(tag, article, (*above.marks, own), label, own)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID or tag in INLINE:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
+        if self.skipping:
             if tag in self.skipping:
                 while self.skipping.pop() != tag:
                     pass
-            return
-        if tag == "a":
+                return
+            if tag not in CONTAINERS or all(p.tag != tag for p in self.parts[1:]):
+                return
+            self.skipping.clear()  # the part around an element that is not closed ends
+        if tag in ("a", "button"):
             self.in_link = 0
-        if tag in INLINE:
+        if tag not in BLOCKS:
             return
         self.flush()
+        self.kind = 0
         self.in_link = 0  # a link that is not closed ends with its block
         if tag in CONTAINERS and any(p.tag == tag for p in self.parts[1:]):
-            while self.parts.pop().tag != tag:
+            while (part := self.parts.pop()).tag != tag:
                 pass
+            if part.own:
+                part.own.open = False
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
@@ -181,17 +228,46 @@ def blocks(html: str) -> list[Block]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    for b in parser.blocks:  # a mark may be lifted after the first blocks of its part
-        b.boiler = any(not m.lifted for m in b.marks)
-    return parser.blocks
+    page = parser.blocks
+    for mark in {m for b in page for m in b.marks if m.open}:  # a menu that never ends
+        below = [b for b in page[mark.first:] if mark in b.marks]
+        ends = next((i for i, b in enumerate(below) if b.kind != 1 and b.density == 0 and (b.kind == 2 or b.words >= 8)
+                     or b.kind == 1 and b.density == 0 and b.words >= 4), len(below))
+        for b in below[ends:]:
+            b.marks = tuple(m for m in b.marks if m is not mark)
+    weigh_marks(page)
+    return page
+
+
+def weigh_marks(page: list[Block]) -> None:
+    """Sets ``boiler``: 0 without a mark, 1 below a sure one; below a weak name
+    the share of words that are NOT below that name, among the words without
+    links of the article parts (of the page, where it has none) that no sure
+    mark covers.  A name on one block only is sure."""
+    def sure(b: Block) -> bool:
+        return any(not m.lifted and not m.weak for m in b.marks)
+
+    open_ = [b for b in page if not sure(b)]
+    scope = [b for b in open_ if b.article] or open_
+    total = max(1, sum(b.words - b.linked for b in scope))
+    share: dict[str, float] = {}
+    for name in {n for b in scope for m in b.marks if not m.lifted for n in m.weak}:
+        below = [b for b in scope if any(name in m.weak and not m.lifted for m in b.marks)]
+        share[name] = sum(b.words - b.linked for b in below) / total if len(below) > 1 else 0.0
+    for b in page:
+        b.boiler = 1.0 if sure(b) else max(
+            (1.0 - share.get(n, 0.0) for m in b.marks if not m.lifted for n in m.weak), default=0.0)
+        if not sure(b) and b.marks and any(m.weak and not m.lifted for m in b.marks):
+            b.boiler = max(b.boiler, 0.01)  # marked all the same
 
 
 def features(page: list[Block]) -> np.ndarray:
     """One row per block: words and link density of it, the one before and the
-    one after, then whether it is in an article and in a marked part."""
+    one after, then whether it is in an article, how far it is marked, and the
+    kind of its tag."""
     words = np.array([0, *[b.words for b in page], 0], np.float64)
     density = np.array([0, *[b.density for b in page], 0], np.float64)
-    inside = np.array([[b.article, b.boiler] for b in page], np.float64).reshape(-1, 2)
+    inside = np.array([[b.article, b.boiler, b.kind] for b in page], np.float64).reshape(-1, 3)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], inside])
 
 
@@ -235,6 +311,16 @@ LABELLED_PAGES = [
     f"""<body><div id=search-results-page><div class=banner-box><article data-main=1><p>{LONG}<p>So be it.</article></div>
     <div class=related><p>{LONG}</p></div></div></body>""",
     f"""<body><div><a href=x>One of our partners</a> <a href=x>{LONG}</a></div><div>Log in</div><div>Tags</div>""",
+    f"""<body><div class=promo-box><article data-main=1><h1>One</h1><p>{LONG}</article><article data-main=1><h1>Two</h1><p>{LONG}
+    </article></div><footer>Imprint</footer></body>""",
+    f"""<body><div>Log in</div><div class=elementor-widget data-main=1><h1>Parts</h1></div><div class=elementor-widget data-main=1>
+    <p>{LONG}<p>Yes.</div><div class=elementor-widget data-main=1><p>{LONG}</div><div class=social>{LONG}<p>Tell your friends.</div>""",
+    f"""<body><section data-main=1><h1>Rain</h1><p>It rained.<p>{LONG}<h2>Later</h2><p>It stopped.</section>
+    <div class=share>Send it on</div><div>Top</div></body>""",
+    f"""<body><div><a href=x>Up</a></div><section data-main=1><h2>Snow</h2><p>It fell.<p>Much of it.<p>{LONG}</section><div>Top</div>""",
+    """<body><article data-main=1>Only a word.</article>""", """<body><article data-main=1><div>Two.</div><div>Or three of them.</div>""",
+    """<body><article><section data-main=1><p>Ours is small.</section><div class=widget><p>Take this one now.<p>Or that one.</div>
+    <section data-main=1><p>Theirs is quite a bit larger than that.</section></article></body>""",
 ]
 
 
@@ -263,7 +349,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
         return node
     best = 2 * y.mean() * (1 - y.mean()) * len(y) - 1e-9
     # what a page marks itself comes before counts, and a block's own counts before its neighbours'
-    for f in (7, 6, 0, 1, 2, 3, 4, 5):
+    for f in (7, 6, 8, 0, 1, 2, 3, 4, 5):
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             low = x[:, f] < cut

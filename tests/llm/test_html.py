@@ -75,3 +75,50 @@ def test_wrappers_that_hold_the_main_text_are_no_marks():
         f"<body><div>{body}</div><div class=page-footer><p>{first}</p></div></body>",
     ):
         assert html.main_text(page) == f"{first.strip()}\n{second.strip()}", page
+
+
+L = ("The bridge was closed for the whole of the winter. " * 3).strip()
+A = f"<p>{L}</p>"
+
+
+@pytest.mark.parametrize("page, text", [
+    # tags inside a line
+    ("<article><p>See the <svg><path/><text>z</text></svg> icon</p></article>", "See the icon"),
+    ("<article>It cost <data>three</data> and <x-tip>four</x-tip> coins.</article>", "It cost three and four coins."),
+    ("<article><p>a <ruby>b<rp>(</rp><rt>c</rt><rp>)</rp></ruby> d</p></article>", "a b(c) d"),
+    ("<article><p>a <picture><source srcset=x><img src=y></picture> b</p></article>", "a b"),
+    ("<article><p>a <select><optgroup label=x><option>q<option>r</optgroup></select> b</p></article>", "a b"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>", "so x=2 holds"),
+    ("<article><p>press <button>Go</button> now</p></article>", "press Go now"),
+    ("<article><p>a <output>b</output> <meter>c</meter> d<wbr>e</p></article>", "a b c de"),
+    ("<article><p>a <object><p>q</p></object> b</p></article>", "a b"),
+    ("<article><p>a<custom-break/>b</p><hr><p>c</p></article>", "ab\nc"),
+    # wrappers with the names of notices
+    *[(f"<body><div class='{c}'><article><h1>T</h1>{A}</article><article>{A}</article></div><footer>x</footer>", f"T\n{L}\n{L}")
+      for c in ("elementor-widget", "post-body social-share-enabled", "legal-text", "promo-theme", "widgetArea main-col")],
+    (f"<main><div class=elementor-widget><h1>T</h1></div><div class=elementor-widget>{A}{A}</div></main>", f"T\n{L}\n{L}"),
+    (f"<article>{A}<p>x</p><div class=social><p>Tell a friend</p><p>Or two</p></div></article>", f"{L}\nx"),
+    (f"<article>{A}</article><div class=widget>{A}{A}{A}</div>", L),
+    (f"<article>{A}</article><div class='cookieBanner'>{A}</div>", L),
+    # notices and comments in an article
+    (f"<article>{A}<div class=alert>Beware of it all</div><p>End</p></article>", f"{L}\nEnd"),
+    (f"<article>{A}<section><h3>3 Comments</h3>{A}<p>no</p></section></article>", L),
+    (f"<article>{A}<div><h4>Leave a reply</h4><p>q</p><div>{A}</div></div><p>End</p></article>", f"{L}\nEnd"),
+    (f"<article>{A}<h2>Comments on the law</h2>{A}</article>", f"{L}\nComments on the law\n{L}"),
+    # no article
+    (f"<body><div><a href=x>Home</a></div><h1>Title</h1><p>Short one.</p>{A}{A}</body>", f"Title\nShort one.\n{L}\n{L}"),
+    (f"<body><h1>Title</h1><p>Short one.</p>{A}<div>Top</div></body>", f"Title\nShort one.\n{L}"),
+    # parts that are not closed
+    (f"<body><nav><a href=x>Home</a><div><h1>T</h1>{A}</div></body>", f"T\n{L}"),
+    (f"<body><nav><ul><li><a href=x>Home</a></ul><article><h1>T</h1>{A}</article></body>", f"T\n{L}"),
+    (f"<body><nav><ul><li><a href=x>Home</a></ul><div>{A}{A}</div></body>", f"{L}\n{L}"),
+    (f"<head><meta x><body><article>{A}</article>", L),
+    (f"<head><link x><article>{A}</article>", L),
+    (f"<article><div>{A}<p>x <svg><path></div><p>y</p></article><footer>x</footer>", f"{L}\nx\ny"),
+    (f"<div class=col><nav><a href=x>A</a></div><article>{A}</article>", L),
+    # hidden parts are not on the list of what goes
+    (f"<article><p hidden>{L}</p><div style='display:none'>x</div></article>", f"{L}\nx"),
+    ("<article><nav><h2>Contents</h2><a href=x>One</a></nav><p>x</p></article>", "x"),
+])
+def test_shapes(page, text):
+    assert html.main_text(page) == text
