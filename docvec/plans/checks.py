@@ -100,6 +100,18 @@ def e11_centred_norms(spark, sf):
     return y.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
 
 
+def e11_plane_components(spark, sf):
+    """Components and variances of the vectors' first two entries: a 2 x 2
+    case that has a closed form."""
+    from docvec.operators.linalg import CenteredPCA
+    e = _vectors(spark, sf).select(F.slice("vec", 1, 2).alias("vec"))
+    p = CenteredPCA(2).fit(e, "vec")
+    v, w = p.components(), p.eigenvalues_
+    return spark.createDataFrame([(j + 1, float(v[0, j]), float(v[1, j]), float(w[j])) for j in range(2)],
+                                 "component int, x double, y double, variance double").select(
+        "component", *[F.round(c, 6).alias(c) for c in ("x", "y", "variance")])
+
+
 def e13_topic_mixtures(spark, sf):
     """Topics per document, and their sum."""
     from docvec.operators.embedders import LDA
@@ -273,6 +285,13 @@ SQL: dict[str, str] = {
     "e11_centred_norms": """WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
         m AS (SELECT i, avg(x) AS m FROM e GROUP BY i)
         SELECT vec_id, round(sum((x - m) * (x - m)), 6) AS sq_norm FROM e JOIN m USING (i) GROUP BY vec_id""",
+    "e11_plane_components": """WITH e AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+        c AS (SELECT var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM e),
+        w AS (SELECT k AS component, b, a, (a + c) / 2 + (3 - 2 * k) * sqrt((a - c) * (a - c) / 4 + b * b) AS variance
+              FROM c, (SELECT unnest([1, 2]) AS k)),
+        u AS (SELECT component, variance, b / sqrt(b * b + (variance - a) ** 2) AS x, (variance - a) / sqrt(b * b + (variance - a) ** 2) AS y FROM w),
+        s AS (SELECT *, CASE WHEN (CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) < 0 THEN -1 ELSE 1 END AS flip FROM u)
+        SELECT component::INT AS component, round(flip * x, 6) AS x, round(flip * y, 6) AS y, round(variance, 6) AS variance FROM s""",
     "e13_topic_mixtures": f"""WITH {Q._BOW_VOCAB.format(tok=Q._TOKSWV)}, k AS (SELECT DISTINCT doc_id FROM dtm JOIN voc USING (term))
         SELECT d.doc_id, {LDA_TOPICS}::BIGINT AS n_topics, 1.0::DOUBLE AS mix FROM documents d LEFT JOIN k USING (doc_id)""",
     "e13_lda_step": f"""WITH {Q._BOW_VOCAB.format(tok=Q._TOKSWV)}, t AS (SELECT range AS topic FROM range({STEP_TOPICS})),
