@@ -40,6 +40,7 @@ PERIOD = 1 << 12        # steps after which the walk's random bits repeat
 PARTITION_CHARS = 3 << 20
 BATCH_BYTES = 4 << 20   # text whose walks are made together
 LEVELS = 40
+DRAWS = 16              # draws for a position of a band
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -251,10 +252,12 @@ def _at_rate(print_: str, rate: int) -> np.ndarray:
     return digits
 
 
-def alike_forest(prints: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def alike_forest(prints: list[str], threshold: float, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that join all fingerprints whose ``likeness`` is at least
-    ``threshold``, possibly through others; every pair is compared."""
+    ``threshold``, possibly through others; every pair is compared, or with
+    ``asked`` every pair of which that marks one."""
     rates = np.array([int(x[:2], 16) for x in prints])
+    asked = np.ones(len(prints), bool) if asked is None else asked
     label = np.arange(len(prints))
     for rate in np.unique(rates).tolist():  # pairs whose coarser rate is this
         members = np.flatnonzero(rates <= rate)
@@ -262,15 +265,18 @@ def alike_forest(prints: list[str], threshold: float) -> tuple[np.ndarray, np.nd
         digits = np.full((len(rows), max(map(len, rows))), 48, np.uint8)
         for row, d in zip(digits, rows, strict=True):
             row[:len(d)] = d
+        wanted = np.flatnonzero(asked[members])
         for a, i in enumerate(members.tolist()):
             if rates[i] != rate:
                 continue
-            shown = (digits != 48) | (digits[a] != 48)
-            n, same = shown.sum(axis=1), ((digits == digits[a]) & shown).sum(axis=1)
+            to = slice(None) if asked[i] else wanted
+            others, against = members[to], digits[to]
+            shown = (against != 48) | (digits[a] != 48)
+            n, same = shown.sum(axis=1), ((against == digits[a]) & shown).sum(axis=1)
             near = (n > 0) & (same / np.maximum(n, 1) >= threshold)
             for b in np.flatnonzero(n == 0).tolist():
-                near[b] = likeness(prints[i], prints[members[b]]) >= threshold
-            joined = np.unique(label[members[near]])
+                near[b] = likeness(prints[i], prints[others[b]]) >= threshold
+            joined = np.unique(label[np.append(others[near], i)])
             if len(joined) > 1:
                 label[np.isin(label, joined)] = joined[0]
     linked = np.flatnonzero(label != np.arange(len(prints)))
@@ -281,28 +287,54 @@ def near_groups(prints: DataFrame, threshold: float = 0.8, bands: int = 16, widt
                 block: int = 512) -> DataFrame:
     """(doc_id, group): documents whose fingerprints (doc_id, fingerprint) agree
     in at least ``threshold`` of their digits, possibly through others; ``group``
-    is the smallest fingerprint's number in ascending order of its hash.
-
-    Candidates agree in one of ``bands`` samples of ``width`` digits.  Equal
-    fingerprints are grouped first.  All pairs that share a band are verified: a
-    band with over ``block`` members is dealt out in pairs of chunks, each of
-    which sends on a spanning forest of its links."""
-    distinct = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies")).withColumn(
-        "node", F.xxhash64("fingerprint"))
+    is the smallest hash of a fingerprint in it.
+
+    Candidates agree in one of ``bands`` samples of ``width`` digits; only
+    hashes of bands are dealt out, fingerprints join those that share one.  Equal
+    fingerprints are grouped first.  All pairs that share a band are verified,
+    but for pairs that links already join: a band's members meet in chunks of
+    about ``block``, dealt anew in each band, and the links are followed.  Where
+    a band's chunks are not in one group then, each member outside of its
+    largest group meets all others, in pairs of chunks."""
+    prints = cut_lineage(prints.select("doc_id", "fingerprint"))
+    distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies")).select(
+        "fingerprint", F.xxhash64("fingerprint").alias("node")))
 
     @F.pandas_udf("array<long>")
     def keys(values: pd.Series) -> pd.Series:
         return pd.Series([band_keys(v, bands, width) for v in values])
 
-    banded = cut_lineage(distinct.select("node", "fingerprint", F.explode(keys("fingerprint")).alias("band")))
+    banded = cut_lineage(distinct.select("node", F.explode(keys("fingerprint")).alias("band")))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut_lineage(banded.join(sizes, "band"))
     chunks = F.ceil(F.col("n") / block)
-    own = F.pmod(F.xxhash64("node"), chunks)
-    dealt = banded.join(sizes, "band").select(
-        "band", "node", "fingerprint", own.alias("own"),
-        F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other")).select(
-        "band", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1"), "node", "fingerprint")
+    first = met.select("band", F.pmod(F.xxhash64("node", "band"), chunks).alias("c0"), F.lit(0).cast("long").alias("c1"),
+                       "node", F.lit(True).alias("asked"))
+    edges = cut_lineage(_links(first, distinct, threshold))
+    wide = met.where(F.col("n") > block)
+    if not wide.isEmpty():
+        groups = connected_components(edges)
+        wide = cut_lineage(wide.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
+        counts = wide.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+        open_ = cut_lineage(wide.join(largest.where("parts > 1"), "band").select(
+            "band", "node", (F.col("component") != F.col("top.component")).alias("asked"), "n", (F.col("n") - F.col("top.n")).alias("outside")))
+        # rows of a cell: some of the members outside (asked) and a chunk of all
+        rows, columns = F.ceil(F.col("outside") / block), F.ceil(F.col("n") / block)
+        every = open_.select("band", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("c0"),
+                             F.pmod(F.xxhash64("node"), columns).alias("c1"), "node", F.lit(False).alias("asked"))
+        outside = open_.where("asked").select("band", F.pmod(F.xxhash64("node"), rows).alias("c0"),
+                                              F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)).alias("c1"), "node", "asked")
+        cells = every.unionByName(outside).groupBy("band", "c0", "c1", "node").agg(F.max("asked").alias("asked"))
+        edges = edges.unionByName(_links(cells, distinct, threshold))
+    nodes = connected_components(edges)
+    grouped = distinct.join(nodes, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group"))
+    return prints.join(grouped, "fingerprint").select("doc_id", "group")
 
+
+def _links(cells: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): a spanning forest of the links inside each cell (band, c0, c1)
+    of nodes; a cell's links are of pairs with an ``asked`` node."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = None
         for frame in frames:
@@ -319,14 +351,12 @@ def near_groups(prints: DataFrame, threshold: float = 0.8, bands: int = 16, widt
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         nodes = group["node"].to_numpy()
-        u, v = alike_forest(group["fingerprint"].tolist(), threshold)
+        u, v = alike_forest(group["fingerprint"].tolist(), threshold, group["asked"].to_numpy(bool))
         return pd.DataFrame({"u": nodes[u], "v": nodes[v]})
 
-    spread = dealt.repartition("band", "c0", "c1").sortWithinPartitions("band", "c0", "c1", "node")
-    edges = spread.mapInPandas(run, "u long, v long")
-    nodes = connected_components(edges)
-    grouped = distinct.join(nodes, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group"))
-    return prints.join(grouped, "fingerprint").select("doc_id", "group")
+    spread = cells.join(distinct, "node").select("band", "c0", "c1", "node", "asked", "fingerprint")
+    spread = spread.repartition("band", "c0", "c1").sortWithinPartitions("band", "c0", "c1", "node")
+    return spread.mapInPandas(run, "u long, v long")
 
 
 def band_keys(print_: str, bands: int, width: int) -> list[int]:
@@ -339,12 +369,16 @@ def band_keys(print_: str, bands: int, width: int) -> list[int]:
         if r > rate:
             power = _power((len(digits) + 64) << (rate + 2))
             digits = digits[_levels(power)[_sample(rate, power)[:len(digits)]] >= r]
-        shown = digits[digits != 48]
+        shown = np.flatnonzero(digits != 48)
+        ends = int(shown[-1]) + 1 if len(shown) else 0
         for b in range(bands):
-            if not len(shown):
+            if not ends:
                 picked = b""
-            else:  # positions by a shared draw over the nominal sample, wrapped into what is there
-                at = _mixed(np.arange(width, dtype=np.uint64) + np.uint64(1000 * b + 7)) % np.uint64(DIGITS // 2 >> (r - rate))
-                picked = digits[np.minimum(at.astype(np.int64), len(digits) - 1)].tobytes()
+            else:  # each position is the first of a shared row of draws over all digits that lies in this text
+                draws = _mixed(np.arange(width * DRAWS, dtype=np.uint64) + np.uint64(100_000 * b + 7)) % np.uint64(DIGITS >> (r - rate))
+                draws = draws.astype(np.int64).reshape(width, DRAWS)
+                inside = draws < ends
+                at = np.where(inside.any(axis=1), draws[np.arange(width), inside.argmax(axis=1)], draws[:, 0] % ends)
+                picked = digits[at].tobytes()
             out.append(int.from_bytes(hashlib.blake2b(b"%d:%d:" % (r, b) + picked, digest_size=8).digest(), "little", signed=True))
     return sorted(set(out))

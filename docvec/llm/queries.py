@@ -53,6 +53,11 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editing.compare_next(table(spark, sf_dir, "documents"), share=4)
 
 
+def near_edit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of each document: fingerprints that agree in 0.8 of their digits."""
+    return editing.near_groups(editing.fingerprinted(table(spark, sf_dir, "documents")), threshold=0.8)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -151,6 +156,6 @@ QUERIES = {
     "op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_chat": op4_chat, "op5_html": op5_html,
     "op6_fingerprint": op6_fingerprint, "op7_langid": op7_langid, "op8_repeats": op8_repeats, "op9_topk": op9_topk,
     "op10_quality": op10_quality, "op11_tokens": op11_tokens, "op12_divergence": op12_divergence,
-    "op13_whitening": op13_whitening,
+    "op13_whitening": op13_whitening, "near_edit_groups": near_edit_groups,
 }
 SQL: dict[str, str] = {"op9_topk": OP9_SQL, "op12_divergence": OP12_SQL}

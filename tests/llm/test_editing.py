@@ -120,3 +120,48 @@ def test_groups_over_a_shared_template_against_brute_force(spark):
     for block in (512, 16):
         got = {r["doc_id"]: r["group"] for r in editing.near_groups(df, 0.8, block=block).collect()}
         assert len(set(got.values())) == len(set(wanted)) == len({(got[i], wanted[i]) for i in got})
+
+
+def test_bands_find_nine_of_ten_near_pairs():
+    rng = random.Random(8)
+    found = near = 0
+    for n in (30, 200, 900, 5000):
+        for _ in range(60):
+            t = "".join(rng.choices("etaoin shrdlu", k=n + rng.randrange(n // 4)))
+            u = list(t)
+            for _ in range(rng.randrange(1, max(2, len(t) // 25))):
+                at = rng.randrange(len(u))
+                u[at:at + rng.randrange(2)] = rng.choices("xyz", k=rng.randrange(2))
+            a, b = editing.fingerprints([t, "".join(u)])
+            if a != b and editing.likeness(a, b) >= 0.8:
+                near += 1
+                found += bool(set(editing.band_keys(a, 16, 6)) & set(editing.band_keys(b, 16, 6)))
+    assert near > 60 and found >= 0.9 * near
+
+
+def test_bands_draw_from_all_digits():
+    t = "".join(random.Random(4).choices("etaoin shrdlu", k=3000))
+    (a,) = editing.fingerprints([t])
+    digits = a[2:]
+    last = digits[:-20] + "".join("1" if d != "1" else "2" for d in digits[-20:])
+    assert set(editing.band_keys(a, 64, 6)) != set(editing.band_keys(a[:2] + last, 64, 6))
+
+
+def test_query_of_groups(spark, sf):
+    from docvec.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["group"] for r in QUERIES["near_edit_groups"](spark, sf).collect()}
+    assert set(got) == {r["doc_id"] for r in docs}
+    prints = dict(zip([r["doc_id"] for r in docs], editing.fingerprints([r["text"] or "" for r in docs]), strict=True))
+    names = sorted(set(prints.values()))
+    u, v = editing.alike_forest(names, 0.8)
+    label = list(range(len(names)))
+    for i, j in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    wanted = {d: label[names.index(f)] for d, f in prints.items()}
+    # no group holds texts that brute force keeps apart; nearly all of its links are found
+    assert len({(got[d], wanted[d]) for d in got}) == len(set(got.values()))
+    links, kept = len(wanted) - len(set(wanted.values())), len(got) - len(set(got.values()))
+    assert kept >= 0.9 * links
