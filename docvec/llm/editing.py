@@ -344,21 +344,36 @@ def _links(cells: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
             # the last group may go on in the next batch
             carry = frame.iloc[cuts[-1]:]
-            for a, b in zip(cuts, cuts[1:]):
-                yield joined(frame.iloc[a:b])
+            yield joined(frame, cuts)
         if carry is not None and len(carry):
-            yield joined(carry)
-
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group["node"].to_numpy()
-        u, v = alike_forest(group["fingerprint"].tolist(), threshold, group["asked"].to_numpy(bool))
-        return pd.DataFrame({"u": nodes[u], "v": nodes[v]})
+            yield joined(carry, [0, len(carry)])
+
+    def joined(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        nodes, asked, prints = frame["node"].to_numpy(), frame["asked"].to_numpy(bool), frame["fingerprint"].tolist()
+        left, right = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a == 2:  # most cells are of two
+                if (asked[a] or asked[a + 1]) and likeness(prints[a], prints[a + 1]) >= threshold:
+                    left.append(nodes[a:a + 1])
+                    right.append(nodes[a + 1:b])
+            elif b - a > 2:
+                u, v = alike_forest(prints[a:b], threshold, asked[a:b])
+                left.append(nodes[a:b][u])
+                right.append(nodes[a:b][v])
+        return pd.DataFrame({"u": np.concatenate([*left, nodes[:0]]), "v": np.concatenate([*right, nodes[:0]])}).drop_duplicates()
 
     spread = cells.join(distinct, "node").select("band", "c0", "c1", "node", "asked", "fingerprint")
     spread = spread.repartition("band", "c0", "c1").sortWithinPartitions("band", "c0", "c1", "node")
     return spread.mapInPandas(run, "u long, v long")
 
 
+@lru_cache(maxsize=16)
+def _draws(positions: int, digits: int) -> np.ndarray:
+    """(positions, DRAWS): shared draws below ``digits``."""
+    draws = _mixed(np.arange(positions * DRAWS, dtype=np.uint64) + np.uint64(7)) % np.uint64(digits)
+    return draws.astype(np.int64).reshape(positions, DRAWS)
+
+
 def band_keys(print_: str, bands: int, width: int) -> list[int]:
     """Hashes of ``bands`` samples of digits, at this rate and the next coarser
     one, where a text a little longer has its own."""
@@ -371,14 +386,13 @@ def band_keys(print_: str, bands: int, width: int) -> list[int]:
             digits = digits[_levels(power)[_sample(rate, power)[:len(digits)]] >= r]
         shown = np.flatnonzero(digits != 48)
         ends = int(shown[-1]) + 1 if len(shown) else 0
-        for b in range(bands):
-            if not ends:
-                picked = b""
-            else:  # each position is the first of a shared row of draws over all digits that lies in this text
-                draws = _mixed(np.arange(width * DRAWS, dtype=np.uint64) + np.uint64(100_000 * b + 7)) % np.uint64(DIGITS >> (r - rate))
-                draws = draws.astype(np.int64).reshape(width, DRAWS)
-                inside = draws < ends
-                at = np.where(inside.any(axis=1), draws[np.arange(width), inside.argmax(axis=1)], draws[:, 0] % ends)
-                picked = digits[at].tobytes()
-            out.append(int.from_bytes(hashlib.blake2b(b"%d:%d:" % (r, b) + picked, digest_size=8).digest(), "little", signed=True))
+        picked = [b""] * bands
+        if ends:  # each position is the first of a shared row of draws over all digits that lies in this text
+            draws = _draws(bands * width, DIGITS >> (r - rate))
+            inside = draws < ends
+            at = np.where(inside.any(axis=1), draws[np.arange(len(draws)), inside.argmax(axis=1)], draws[:, 0] % ends)
+            text = digits[at].tobytes()
+            picked = [text[b:b + width] for b in range(0, len(text), width)]
+        out += [int.from_bytes(hashlib.blake2b(b"%d:%d:" % (r, b) + x, digest_size=8).digest(), "little", signed=True)
+                for b, x in enumerate(picked)]
     return sorted(set(out))
