@@ -120,6 +120,42 @@ def sentence_means(rows: np.ndarray, lens: np.ndarray, min_len: int = 2) -> np.n
     return np.add.reduceat(rows, starts, axis=0) / np.maximum(lens, min_len)[:, None]
 
 
+def sentence_words(df: DataFrame, sentences: Column, tokenize: Callable[[Column], Column], max_sents: int | None = None,
+                   id_col: str = "doc_id") -> DataFrame:
+    """(id, sent_no, words array<string>): the sentences that have words, those
+    of rows with equal ids joined by their number; the sentences of a document
+    come to lie together."""
+    s = df.select(id_col, F.posexplode(sentences).alias("sent_no", "_s"))
+    if max_sents is not None:
+        s = s.where(F.col("sent_no") < max_sents)
+    w = s.select(id_col, "sent_no", tokenize(F.col("_s")).alias("_w")).repartition(id_col)
+    # one sentence per group
+    return w.groupBy(id_col, "sent_no").agg(F.flatten(F.collect_list("_w")).alias("words")).where(F.size("words") > 0)
+
+
+def on_sentences(sents: DataFrame, wv: DataFrame, weights: DataFrame | None, dim: int, min_len: int = 2) -> DataFrame:
+    """E3 as ``sentence_vectors``, of rows (..., words) that are a sentence each:
+    their other columns, n_words and vec.  Sentences work in blocks, as
+    documents do, so that no vector travels once per sentence and word."""
+    kept = [f for f in sents.schema.fields if f.name != "words"]
+
+    def run(block: Block) -> pa.Table:
+        offsets, place = block.lists("words")
+        size = np.diff(offsets)
+        out = np.add.reduceat(block.params[place.astype(np.int64)], offsets[:-1], axis=0) / np.maximum(size, min_len)[:, None]
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
+        return pa.table({f.name: block.table.column(f.name) for f in kept} | {"n_words": pa.array(size, pa.int64()), "vec": vec})
+
+    columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return on_blocks(packed(sents, "words", BLOCK_WORDS), _weighted(word_table(wv, weights)), dim, run,
+                     f"{columns}n_words long, vec array<double>")
+
+
+def _weighted(table: DataFrame) -> DataFrame:
+    """(key, row) of a table (word, vec, weight)."""
+    return table.select(F.col("word").alias("key"), row_of(F.transform("vec", lambda x: x * F.col("weight"))).alias("row"))
+
+
 def on_documents(docs: DataFrame, table: DataFrame, dim: int, fn: Callable[[np.ndarray, np.ndarray], np.ndarray],
                  id_col: str = "doc_id") -> DataFrame:
     """(id, vec): ``fn(weighted vectors of the words, sizes of the sentences)``
@@ -128,8 +164,6 @@ def on_documents(docs: DataFrame, table: DataFrame, dim: int, fn: Callable[[np.n
     that has it, not once per document, sentence and word.
 
     ``table``: (word, vec, weight); unknown words count as zero vectors."""
-    params = table.select(F.col("word").alias("key"), row_of(F.transform("vec", lambda x: x * F.col("weight"))).alias("row"))
-
     def run(block: Block) -> pa.Table:
         offsets, place = block.lists("words")
         cuts, lens = block.lists("lens")
@@ -142,7 +176,7 @@ def on_documents(docs: DataFrame, table: DataFrame, dim: int, fn: Callable[[np.n
         return pa.table({id_col: block.table.column(id_col), "vec": vec})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return on_blocks(packed(docs, "words", BLOCK_WORDS), params, dim, run, f"`{id_col}` {kind}, vec array<double>")
+    return on_blocks(packed(docs, "words", BLOCK_WORDS), _weighted(table), dim, run, f"`{id_col}` {kind}, vec array<double>")
 
 
 def word_table(wv: DataFrame, weights: DataFrame | None) -> DataFrame:

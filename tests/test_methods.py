@@ -165,3 +165,24 @@ def test_hot_word_join_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_sentences_in_blocks_equal_the_join(spark, monkeypatch):
+    """Also for ids that come twice, and without a vector per sentence and word in a shuffle."""
+    from docvec.functions import text as T
+    from docvec.operators import vocab, wordvec
+
+    docs = spark.createDataFrame([(1, "red fox ran. fox ran fox!"), (2, None), (3, "..."), (4, "unknown. red"), (1, "fox sat. red. so")],
+                                 "doc_id long, text string")
+    table = spark.createDataFrame([("red", [1.0, 2.0]), ("fox", [0.5, -1.0]), ("ran", [3.0, 0.0])], "word string, vec array<double>")
+    weights = spark.createDataFrame([("red", 0.5), ("fox", 0.25)], "word string, weight double")
+    tok = vocab.sentence_tokens(docs.select("doc_id", T.sentences("text").alias("s")), "s", T.preprocess)
+    want = {(r["doc_id"], r["sent_no"]): (r["n_words"], *r["vec"]) for r in wordvec.sentence_vectors(tok, table, weights, 2).collect()}
+    for limit in (1 << 17, 2):
+        monkeypatch.setattr(wordvec, "BLOCK_WORDS", limit)
+        sents = wordvec.sentence_words(docs, T.sentences("text"), T.preprocess).withColumn("more", F.lit("x"))
+        got = wordvec.on_sentences(sents, table, weights, 2).collect()
+        found = {(r["doc_id"], r["sent_no"]): (r["n_words"], *r["vec"]) for r in got}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+        assert len(got) == len(want) and all(r["more"] == "x" for r in got)
+    assert {r["sent_no"] for r in wordvec.sentence_words(docs, T.sentences("text"), T.preprocess, 1).collect()} == {0}
