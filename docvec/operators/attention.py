@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.operators.wordvec import scale
+from docvec.operators.blocks import Block, on_blocks, packed, row_of
+from docvec.operators.wordvec import BLOCK_WORDS, scale
 from docvec.session import cut_lineage
 
 # The pooling epsilon of the reference layer.
@@ -56,20 +58,40 @@ def attention_pool_identity(df: DataFrame, keys: list, dim: int, eps: float = AT
 
 
 def bag_attention_pool(counts: DataFrame, scored_words: DataFrame, keys: list, eps: float = ATTENTION_EPS,
-                       word_col: str = "word") -> DataFrame:
+                       word_col: str = "word", unknown: float = 0.0) -> DataFrame:
     """E17 over bags of words: the score depends on the word vector only, so
     it is computed once per distinct word (``scored_words(word, vec, s)``);
     documents pool with weight n * exp(s).  Unknown words (no vector) count
-    with s = 0 in the normaliser only."""
-    table = cut_lineage(scored_words.select(word_col, "vec", "s"))
-    d = table.select(F.size("vec")).first()
-    if d is None:
+    with s = ``unknown`` in the normaliser only.  Bags work in blocks: a word's
+    vector travels once to each block that has it, not once per document."""
+    table = cut_lineage(scored_words.select(F.col(word_col).alias("key"), "vec", "s"))
+    first = table.select(F.size("vec")).first()
+    if first is None:
         return counts.select(*keys).distinct().withColumn("vec", F.lit(None).cast("array<double>"))
-    j = counts.join(table, word_col, "left")
-    zeros = F.array_repeat(F.lit(0.0), d[0])
-    e = j.select(*keys, (F.col("n").cast("double") * F.exp(F.coalesce("s", F.lit(0.0)))).alias("_a"),
-                 F.coalesce("vec", zeros).alias("_x"))
-    return _ratio(e, keys, eps)
+    d = first[0]
+    # one bag per group, at most its distinct words
+    bags = counts.groupBy(*keys).agg(F.collect_list(F.struct(F.col(word_col).alias("w"), F.col("n").cast("double").alias("n"))).alias("_b"))
+    bags = bags.select(*keys, F.col("_b.w").alias("words"), F.col("_b.n").alias("n"))
+    kinds = [(f.name, f.dataType.simpleString()) for f in bags.schema.fields if f.name in keys]
+
+    def run(block: Block) -> pa.Table:
+        offsets, place = block.lists("words")
+        place, X = place.astype(np.int64), block.params[:, :d]
+        a = np.exp(np.where(block.known, block.params[:, d], unknown))[place] * block.lists("n")[1]
+        out = np.add.reduceat(a[:, None] * X[place], offsets[:-1], axis=0) / (np.add.reduceat(a, offsets[:-1]) + eps)[:, None]
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * d, pa.int32()), pa.array(out.ravel()))
+        return pa.table({name: block.table.column(name) for name, _ in kinds} | {"vec": vec})
+
+    params = table.select("key", row_of(F.concat("vec", F.array("s"))).alias("row"))
+    return on_blocks(packed(bags, "words", BLOCK_WORDS), params, d + 1, run,
+                     "".join(f"`{name}` {kind}, " for name, kind in kinds) + "vec array<double>")
+
+
+def word_attention_pool(counts: DataFrame, wv: DataFrame, keys: list, W, b, u, eps: float = ATTENTION_EPS) -> DataFrame:
+    """E17 as ``attention_pool`` over the words of each key, (keys, word, n) and
+    (word, vec): a word is scored once, unknown words as zero vectors."""
+    scored = wv.withColumn("s", attention_scores(W, b, u)(F.col("vec")))
+    return bag_attention_pool(counts, scored, keys, eps, unknown=float(np.tanh(np.asarray(b, np.float64)) @ np.asarray(u, np.float64)))
 
 
 def attention_scores(W: np.ndarray, b: np.ndarray, u: np.ndarray):

@@ -145,13 +145,14 @@ def _psi(x: str) -> str:
 
 def e17_attention_w(spark, sf):
     """Pooling with a projection that mixes neighbouring coordinates."""
-    from docvec.operators.attention import attention_pool
+    from docvec.operators.attention import word_attention_pool
     d = Q._dim(spark, sf)
     W = 0.5 * np.eye(d) + 0.1 * np.eye(d, k=1)
     u = np.where(np.arange(d) % 2 == 0, 1.0, -1.0) / np.sqrt(d)
-    tok = Q._tokens(spark, sf).select("doc_id", F.explode("tokens").alias("word"))
-    wv = Q._wv_for(tok.select("word"), spark, sf)
-    pooled = attention_pool(wordvec.lookup(tok, wv, d), ["doc_id"], W, np.full(d, 0.05), u, Q.EPS)
+    counts = vocab.term_counts(Q._tokens(spark, sf)).withColumnRenamed("term", "word")
+    wv = Q._wv_for(counts.select("word"), spark, sf)
+    pooled = word_attention_pool(counts, wv, ["doc_id"], W, np.full(d, 0.05), u, Q.EPS)
+    pooled = pooled.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), d)))  # no word is known
     return wordvec.long_vectors(pooled, ["doc_id"]).select("doc_id", F.col("dim").cast("long").alias("dim"), "value")
 
 

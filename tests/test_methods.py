@@ -186,3 +186,23 @@ def test_sentences_in_blocks_equal_the_join(spark, monkeypatch):
         assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
         assert len(got) == len(want) and all(r["more"] == "x" for r in got)
     assert {r["sent_no"] for r in wordvec.sentence_words(docs, T.sentences("text"), T.preprocess, 1).collect()} == {0}
+
+
+def test_attention_pools_words_in_blocks(spark, monkeypatch):
+    from docvec.operators import attention as A
+    from docvec.operators.wordvec import lookup
+
+    tok = spark.createDataFrame([(1, "red"), (1, "fox"), (1, "red"), (2, "none"), (3, "none"), (3, "fox"), (4, "red")], "doc_id long, word string")
+    wv = spark.createDataFrame([("red", [1.0, 2.0]), ("fox", [0.5, -1.0]), ("ran", [3.0, 0.0])], "word string, vec array<double>")
+    counts = tok.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    W, b, u = np.array([[0.5, 0.1], [0.0, 0.5]]), np.array([0.05, -0.3]), np.array([1.0, -0.7])
+    want = {r["doc_id"]: r["vec"] for r in A.attention_pool(lookup(tok, wv, 2), ["doc_id"], W, b, u, 1e-7).collect()}
+    plain = {r["doc_id"]: r["vec"] for r in A.attention_pool_identity(lookup(tok, wv, 2), ["doc_id"], 2, 1e-7).collect()}
+    for limit in (1 << 17, 2):
+        monkeypatch.setattr(A, "BLOCK_WORDS", limit)
+        got = {r["doc_id"]: r["vec"] for r in A.word_attention_pool(counts, wv, ["doc_id"], W, b, u, 1e-7).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        scored = wv.withColumn("s", A.identity_score("vec", 2))
+        got = {r["doc_id"]: r["vec"] for r in A.bag_attention_pool(counts, scored, ["doc_id"], 1e-7).collect()}
+        assert got.keys() == plain.keys() and all(got[k] == pytest.approx(plain[k]) for k in plain)
+    assert A.word_attention_pool(counts, wv.limit(0), ["doc_id"], W, b, u).where("vec is null").count() == 4
