@@ -9,12 +9,14 @@ a document's length."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvec.functions import text as T
 
+MERGED = 256   # documents whose words a task holds as Python objects
+
 
 def _words(df: DataFrame, arr, id_col: str) -> DataFrame:
     return df.select(id_col, F.posexplode(arr).alias("pos", "w"))
@@ -79,25 +81,32 @@ def merge_phrases(df: DataFrame, phrases: DataFrame, id_col: str = "doc_id", tok
     per = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("n")).alias("rank"), F.split("phrase", " ").alias("words"), "pos"))).alias("_m"))
 
-    @F.pandas_udf("array<string>")
-    def merged(tokens: pd.Series, matches: pd.Series) -> pd.Series:
-        out = []
-        for t, ms in zip(tokens, matches):
-            taken, head = [False] * len(t), {}
-            for m in ms:
-                a, e = m["pos"], m["pos"] - m["rank"]
-                if not any(taken[a:e]):
-                    taken[a:e] = [True] * (e - a)
-                    head[a] = e
-            words, i = [], 0
-            while i < len(t):
-                e = head.get(i, i + 1)
-                words.append(" ".join(t[i:e]))
-                i = e
-            out.append(words)
-        return pd.Series(out, dtype=object)
-
-    j = df.select(id_col, tokens_col).join(per, id_col, "left")
-    return j.select(id_col, F.when(F.col("_m").isNull(), F.col(tokens_col)).otherwise(
-        merged(F.col(tokens_col), F.coalesce("_m", F.expr(
-            "cast(array() as array<struct<rank:int,words:array<string>,pos:int>>)")))).alias(tokens_col))
+    j = df.select(id_col, tokens_col).join(per.select(id_col, F.transform("_m", lambda m: F.struct(
+        m["pos"].alias("start"), (m["pos"] - m["rank"]).alias("end"))).alias("_m")), id_col, "left")
+    return j.mapInArrow(_merged, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{tokens_col}` array<string>")
+
+
+def _merged(batches):
+    """(id, tokens) of (id, tokens, matches in their order); MERGED documents at
+    a time are Python objects, whatever a batch holds."""
+    for batch in batches:
+        for a in range(0, len(batch), MERGED):
+            part = batch.slice(a, MERGED)
+            out = []
+            for t, ms in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if ms is None:
+                    out.append(t)
+                    continue
+                taken, head = [False] * len(t), {}
+                for m in ms:
+                    s, e = m["start"], m["end"]
+                    if not any(taken[s:e]):
+                        taken[s:e] = [True] * (e - s)
+                        head[s] = e
+                words, i = [], 0
+                while i < len(t):
+                    e = head.get(i, i + 1)
+                    words.append(" ".join(t[i:e]))
+                    i = e
+                out.append(words)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.string()))], names=batch.schema.names[:2])

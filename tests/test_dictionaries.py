@@ -53,3 +53,16 @@ def test_repeated_dictionary_rows_do_not_double_words(spark):
     lemmas = spark.createDataFrame([("mice", "n", "mouse"), ("mice", "n", "mouse"), ("ran", "v", "run"), ("ran", "v", "rin")],
                                    "form string, pos string, lemma string")
     assert D.lemmatize(tokens, lemmas).first()["tokens"] == ["mouse", "rin"]
+
+
+def test_merging_holds_few_documents(spark):
+    import pyarrow as pa
+
+    n = 3 * D.MERGED + 5
+    tokens = [["kind", "of", "old"]] * n
+    matches = [[{"start": 0, "end": 2}, {"start": 1, "end": 3}] if i % 2 else None for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "tokens": tokens, "_m": matches})
+    out = list(D._merged([batch]))
+    assert max(map(len, out)) <= D.MERGED and sum(map(len, out)) == n
+    got = [t for b in out for t in b.column("tokens").to_pylist()]
+    assert got[:2] == [["kind", "of", "old"], ["kind of", "old"]]
