@@ -64,7 +64,7 @@ def bag_attention_pool(counts: DataFrame, scored_words: DataFrame, keys: list, e
     documents pool with weight n * exp(s).  Unknown words (no vector) count
     with s = ``unknown`` in the normaliser only.  Bags work in blocks: a word's
     vector travels once to each block that has it, not once per document."""
-    table = cut_lineage(scored_words.select(F.col(word_col).alias("key"), "vec", "s"))
+    table = cut_lineage(scored_words.where(F.col("vec").isNotNull()).select(F.col(word_col).alias("key"), "vec", F.exp("s").alias("a")))
     first = table.select(F.size("vec")).first()
     if first is None:
         return counts.select(*keys).distinct().withColumn("vec", F.lit(None).cast("array<double>"))
@@ -76,13 +76,13 @@ def bag_attention_pool(counts: DataFrame, scored_words: DataFrame, keys: list, e
 
     def run(block: Block) -> pa.Table:
         offsets, place = block.lists("words")
-        place, X = place.astype(np.int64), block.params[:, :d]
-        a = np.exp(np.where(block.known, block.params[:, d], unknown))[place] * block.lists("n")[1]
-        out = np.add.reduceat(a[:, None] * X[place], offsets[:-1], axis=0) / (np.add.reduceat(a, offsets[:-1]) + eps)[:, None]
+        place, n, (params, times) = place.astype(np.int64), block.lists("n")[1], block.summed()
+        a = np.where(times > 0, params[:, d], np.exp(unknown))[place] * n
+        out = np.add.reduceat(n[:, None] * params[place, :d], offsets[:-1], axis=0) / (np.add.reduceat(a, offsets[:-1]) + eps)[:, None]
         vec = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * d, pa.int32()), pa.array(out.ravel()))
         return pa.table({name: block.table.column(name) for name, _ in kinds} | {"vec": vec})
 
-    params = table.select("key", row_of(F.concat("vec", F.array("s"))).alias("row"))
+    params = table.select("key", row_of(F.concat(scale(F.col("vec"), F.col("a")), F.array("a"))).alias("row"))
     return on_blocks(packed(bags, "words", BLOCK_WORDS), params, d + 1, run,
                      "".join(f"`{name}` {kind}, " for name, kind in kinds) + "vec array<double>")
 
@@ -90,7 +90,7 @@ def bag_attention_pool(counts: DataFrame, scored_words: DataFrame, keys: list, e
 def word_attention_pool(counts: DataFrame, wv: DataFrame, keys: list, W, b, u, eps: float = ATTENTION_EPS) -> DataFrame:
     """E17 as ``attention_pool`` over the words of each key, (keys, word, n) and
     (word, vec): a word is scored once, unknown words as zero vectors."""
-    scored = wv.withColumn("s", attention_scores(W, b, u)(F.col("vec")))
+    scored = wv.where(F.col("vec").isNotNull()).withColumn("s", attention_scores(W, b, u)(F.col("vec")))
     return bag_attention_pool(counts, scored, keys, eps, unknown=float(np.tanh(np.asarray(b, np.float64)) @ np.asarray(u, np.float64)))
 
 

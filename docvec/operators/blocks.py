@@ -147,11 +147,22 @@ class Block:
         if isinstance(at, pa.ChunkedArray):
             at = at.combine_chunks()
         self.known = np.zeros(len(keys), bool)
+        self._found, self._place = found, np.zeros(0, np.int64)
         if len(at):
-            place = at.to_numpy(zero_copy_only=False).astype(np.int64)
+            self._place = place = at.to_numpy(zero_copy_only=False).astype(np.int64)
             self.params[place] = matrix(found.column("row"), width)
             self.known[place] = True
 
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        """(parameters, times): rows of a key that the table has more than once
+        added up, and how often it has each key."""
+        times = np.bincount(self._place, minlength=len(self.keys))
+        if times.max(initial=0) <= 1:
+            return self.params, times
+        out = np.zeros_like(self.params)
+        np.add.at(out, self._place, matrix(self._found.column("row"), out.shape[1]))
+        return out, times
+
     def lists(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, values) of a list column."""
         if not len(self.table):

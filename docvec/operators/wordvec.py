@@ -141,8 +141,9 @@ def on_sentences(sents: DataFrame, wv: DataFrame, weights: DataFrame | None, dim
 
     def run(block: Block) -> pa.Table:
         offsets, place = block.lists("words")
-        size = np.diff(offsets)
-        out = np.add.reduceat(block.params[place.astype(np.int64)], offsets[:-1], axis=0) / np.maximum(size, min_len)[:, None]
+        place, (params, times) = place.astype(np.int64), block.summed()
+        size = np.add.reduceat(np.maximum(times, 1)[place], offsets[:-1])   # as a join gives them
+        out = np.add.reduceat(params[place], offsets[:-1], axis=0) / np.maximum(size, min_len)[:, None]
         vec = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
         return pa.table({f.name: block.table.column(f.name) for f in kept} | {"n_words": pa.array(size, pa.int64()), "vec": vec})
 
@@ -152,8 +153,8 @@ def on_sentences(sents: DataFrame, wv: DataFrame, weights: DataFrame | None, dim
 
 
 def _weighted(table: DataFrame) -> DataFrame:
-    """(key, row) of a table (word, vec, weight)."""
-    return table.select(F.col("word").alias("key"), row_of(F.transform("vec", lambda x: x * F.col("weight"))).alias("row"))
+    """(key, row) of a table (word, vec, weight); a word without a vector is unknown."""
+    return table.where(F.col("vec").isNotNull()).select(F.col("word").alias("key"), row_of(F.transform("vec", lambda x: x * F.col("weight"))).alias("row"))
 
 
 def on_documents(docs: DataFrame, table: DataFrame, dim: int, fn: Callable[[np.ndarray, np.ndarray], np.ndarray],

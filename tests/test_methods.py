@@ -174,7 +174,8 @@ def test_sentences_in_blocks_equal_the_join(spark, monkeypatch):
 
     docs = spark.createDataFrame([(1, "red fox ran. fox ran fox!"), (2, None), (3, "..."), (4, "unknown. red"), (1, "fox sat. red. so")],
                                  "doc_id long, text string")
-    table = spark.createDataFrame([("red", [1.0, 2.0]), ("fox", [0.5, -1.0]), ("ran", [3.0, 0.0])], "word string, vec array<double>")
+    table = spark.createDataFrame([("red", [1.0, 2.0]), ("fox", [0.5, -1.0]), ("fox", [0.5, -1.0]), ("ran", [3.0, 0.0]), ("sat", None)],
+                                  "word string, vec array<double>")
     weights = spark.createDataFrame([("red", 0.5), ("fox", 0.25)], "word string, weight double")
     tok = vocab.sentence_tokens(docs.select("doc_id", T.sentences("text").alias("s")), "s", T.preprocess)
     want = {(r["doc_id"], r["sent_no"]): (r["n_words"], *r["vec"]) for r in wordvec.sentence_vectors(tok, table, weights, 2).collect()}
@@ -193,7 +194,8 @@ def test_attention_pools_words_in_blocks(spark, monkeypatch):
     from docvec.operators.wordvec import lookup
 
     tok = spark.createDataFrame([(1, "red"), (1, "fox"), (1, "red"), (2, "none"), (3, "none"), (3, "fox"), (4, "red")], "doc_id long, word string")
-    wv = spark.createDataFrame([("red", [1.0, 2.0]), ("fox", [0.5, -1.0]), ("ran", [3.0, 0.0])], "word string, vec array<double>")
+    wv = spark.createDataFrame([("red", [1.0, 2.0]), ("fox", [0.5, -1.0]), ("fox", [0.7, -1.0]), ("ran", [3.0, 0.0]), ("none", None)],
+                               "word string, vec array<double>")
     counts = tok.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     W, b, u = np.array([[0.5, 0.1], [0.0, 0.5]]), np.array([0.05, -0.3]), np.array([1.0, -0.7])
     want = {r["doc_id"]: r["vec"] for r in A.attention_pool(lookup(tok, wv, 2), ["doc_id"], W, b, u, 1e-7).collect()}
@@ -202,7 +204,7 @@ def test_attention_pools_words_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(A, "BLOCK_WORDS", limit)
         got = {r["doc_id"]: r["vec"] for r in A.word_attention_pool(counts, wv, ["doc_id"], W, b, u, 1e-7).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-        scored = wv.withColumn("s", A.identity_score("vec", 2))
+        scored = wv.withColumn("s", A.identity_score("vec", 2))   # no score for the word without a vector
         got = {r["doc_id"]: r["vec"] for r in A.bag_attention_pool(counts, scored, ["doc_id"], 1e-7).collect()}
         assert got.keys() == plain.keys() and all(got[k] == pytest.approx(plain[k]) for k in plain)
     assert A.word_attention_pool(counts, wv.limit(0), ["doc_id"], W, b, u).where("vec is null").count() == 4
