@@ -158,9 +158,10 @@ def _weighted(table: DataFrame) -> DataFrame:
 
 
 def on_documents(docs: DataFrame, table: DataFrame, dim: int, fn: Callable[[np.ndarray, np.ndarray], np.ndarray],
-                 id_col: str = "doc_id") -> DataFrame:
+                 id_col: str = "doc_id", empty: bool = True) -> DataFrame:
     """(id, vec): ``fn(weighted vectors of the words, sizes of the sentences)``
-    of each row of ``docs`` (id, words, lens); zeros for one without words.
+    of each row of ``docs`` (id, words, lens); zeros for one without words, or
+    no row without ``empty`` (a filter before would tokenise every text twice).
     Documents work in blocks: the vector of a word travels once to each block
     that has it, not once per document, sentence and word.
 
@@ -174,7 +175,8 @@ def on_documents(docs: DataFrame, table: DataFrame, dim: int, fn: Callable[[np.n
             if offsets[j] < offsets[j + 1]:
                 out[j] = fn(block.params[place[offsets[j]:offsets[j + 1]]], lens[cuts[j]:cuts[j + 1]])
         vec = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
-        return pa.table({id_col: block.table.column(id_col), "vec": vec})
+        made = pa.table({id_col: block.table.column(id_col), "vec": vec})
+        return made if empty else made.filter(pa.array(np.diff(offsets) > 0))
 
     kind = docs.schema[id_col].dataType.simpleString()
     return on_blocks(packed(docs, "words", BLOCK_WORDS), _weighted(table), dim, run, f"`{id_col}` {kind}, vec array<double>")

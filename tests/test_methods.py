@@ -208,3 +208,15 @@ def test_attention_pools_words_in_blocks(spark, monkeypatch):
         got = {r["doc_id"]: r["vec"] for r in A.bag_attention_pool(counts, scored, ["doc_id"], 1e-7).collect()}
         assert got.keys() == plain.keys() and all(got[k] == pytest.approx(plain[k]) for k in plain)
     assert A.word_attention_pool(counts, wv.limit(0), ["doc_id"], W, b, u).where("vec is null").count() == 4
+
+
+def test_documents_without_words_can_be_left_out(spark):
+    from docvec.operators import wordvec
+
+    docs = spark.createDataFrame([(1, ["red", "fox"], [2]), (2, [], []), (3, ["none"], [1]), (4, None, None)],
+                                 "doc_id long, words array<string>, lens array<int>")
+    table = spark.createDataFrame([("red", [1.0, 2.0], 1.0)], "word string, vec array<double>, weight double")
+    mean = lambda rows, lens: wordvec.sentence_means(rows, lens).mean(axis=0)
+    got = {r["doc_id"]: r["vec"] for r in wordvec.on_documents(docs, table, 2, mean, empty=False).collect()}
+    assert got == {1: [0.5, 1.0], 3: [0.0, 0.0]}
+    assert wordvec.on_documents(docs, table, 2, mean).count() == 4
