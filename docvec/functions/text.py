@@ -21,6 +21,9 @@ EMAIL_PATTERN = r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+"
 ALPHABET_DEFAULT = r"[^a-zA-Z']"
 ALPHABET_CLEAN = r"[^a-zA-Z'.?!]"
 ALPHABET_TRANSFORMER = r"[^a-zA-Z0-9'.?!:;\"\-,]"
+# the same without the space, which would be replaced by itself; Java tests the named class of letters several times as
+# fast as a union of ranges
+NOT_A_SPACE = {"default": r"[^\p{Alpha}' ]", "clean": r"[^\p{Alpha}'.?! ]", "transformer": r"[^\p{Alnum}'.?!:;\"\-, ]"}
 # per-token removals of the word tokeniser, in this order
 TOKEN_NEG_SUFFIX = r"n't( |$)"
 TOKEN_CLITIC = r"'[a-z]{1,2}( |$)"
@@ -34,6 +37,9 @@ FUSED_WORDS = (
     (r"\b(lem|gim)(me)\b", "$1 $2"),
     (r"'t(is|was)\b", " $1"),
 )
+# all of them in one pass (a group that does not take part adds nothing), and the strings one of which a text needs
+FUSED_ANY = r"\b(?:(can)(not)|(gon|wan)(na)|(got)(ta)|(lem|gim)(me))\b|'t(is|was)\b", "$1$3$5$7 $2$4$6$8$9"
+FUSED_PARTS = ("cannot", "onna", "anna", "gotta", "lemme", "gimme", "'tis", "'twas")
 # characters the Keras-style word splitter turns into spaces
 KERAS_FILTERS = r"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\t\n]"
 # vectoriser token: two or more word characters
@@ -66,7 +72,7 @@ def strip_email(col) -> Column:
 
 def keep_chars(col, alphabet: str = "default") -> Column:
     """Every character outside the alphabet becomes a space."""
-    return F.regexp_replace(_c(col), ALPHABETS[alphabet], " ")
+    return F.regexp_replace(_c(col), NOT_A_SPACE[alphabet], " ")
 
 
 def collapse_ws(col) -> Column:
@@ -79,12 +85,20 @@ def clean_for_transformer(col) -> Column:
     return collapse_ws(keep_chars(strip_email(col), "transformer"))
 
 
+def _once(value: Column, fn) -> Column:
+    """``fn`` of a value that is made once, however often ``fn`` names it: an
+    expression named twice is evaluated twice, a lambda's variable is not."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _split_fused(col: Column) -> Column:
-    # no substring guard here: a guard repeats the nested input expression,
-    # which Spark then evaluates more than once
-    for pat, rep in FUSED_WORDS:
-        col = F.regexp_replace(col, pat, rep)
-    return col
+    def split(t: Column) -> Column:
+        found = t.contains(FUSED_PARTS[0])
+        for part in FUSED_PARTS[1:]:
+            found = found | t.contains(part)
+        return F.when(found, F.regexp_replace(t, F.lit(FUSED_ANY[0]), F.lit(FUSED_ANY[1]))).otherwise(t)
+
+    return _once(col, split)
 
 
 def _strip_text(t: Column, keep_marks: bool = False) -> Column:
@@ -97,6 +111,16 @@ def _strip_text(t: Column, keep_marks: bool = False) -> Column:
     return F.regexp_replace(t, TOKEN_NON_LETTERS_KEEP_MARKS if keep_marks else TOKEN_NON_LETTERS, "")
 
 
+def _strip_letters(t: Column) -> Column:
+    """``_strip_text`` of a text of a-z, spaces and apostrophes: without an
+    apostrophe there is nothing to take off, and no other character to drop."""
+    def strip(x: Column) -> Column:
+        y = F.regexp_replace(F.regexp_replace(x, TOKEN_NEG_SUFFIX, "$1"), TOKEN_CLITIC, "$1")
+        return F.when(x.contains("'"), F.replace(y, F.lit("'"), F.lit(""))).otherwise(x)
+
+    return _once(t, strip)
+
+
 def _tokens_of_text(t: Column, keep_marks: bool = False) -> Column:
     return F.filter(F.split(_strip_text(t, keep_marks), " "), lambda w: F.length(w) > 1)
 
@@ -107,8 +131,7 @@ def base_tokens(col) -> Column:
     T1, T2, lower, split fused words, split on spaces, then per token drop a
     trailing n't, a trailing clitic and every non-letter; keep length > 1."""
     t = F.lower(keep_chars(strip_email(col), "default"))
-    t = _split_fused(t)
-    return _tokens_of_text(t)
+    return F.filter(F.split(_strip_letters(_split_fused(t)), " "), lambda w: F.length(w) > 1)
 
 
 def remove_words(arr: Column, words) -> Column:
@@ -217,9 +240,10 @@ def preprocess(col, remove_stopwords: bool = False, stopwords=None,
     if contractions:
         t = expand_contractions(t, contractions)
     t = _split_fused(t)
-    arr = F.filter(F.split(_strip_text(t), " "), lambda w: w != "")
+    # a dictionary's expansions may hold any character
+    arr = F.split(_strip_text(t) if contractions else _strip_letters(t), " ")
     if phrases:
-        arr = merge_phrases(arr, phrases)
+        arr = merge_phrases(F.filter(arr, lambda w: w != ""), phrases)
     arr = F.filter(arr, lambda w: F.length(w) > 1)
     if remove_stopwords:
         from docvec.functions.dictionaries import ENGLISH_STOP_WORDS
