@@ -10,12 +10,15 @@ a document's length."""
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvec.functions import text as T
+from docvec.operators.blocks import packed, pull
 
-MERGED = 256   # documents whose words a task holds as Python objects
+MERGED = 256            # documents whose words a task holds as Python objects
+BLOCK_WORDS = 1 << 17   # words of the documents that look their words up together
 
 
 def _words(df: DataFrame, arr, id_col: str) -> DataFrame:
@@ -35,14 +38,43 @@ def _one_each(table: DataFrame, value: str) -> DataFrame:
     return table.where(F.col(value).isNotNull()).groupBy(F.col("form").alias("w")).agg(F.min(value).alias(value))
 
 
+def _translated(df: DataFrame, words: Column, table: DataFrame, id_col: str, out: str) -> DataFrame:
+    """(id, out): the words of each row in order, those that ``table`` (w, value)
+    has replaced.  Rows work in blocks that look a word up once.  Rows of equal
+    ids get the words of all of them by place, rows without an id none, as the
+    joins by word and by id gave them."""
+    blocks = packed(df.select(id_col, words.alias("words")), "words", BLOCK_WORDS)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, rows = _whole(left.column("keys")).flatten(), pa.ipc.open_stream(left.column("rows")[0].as_py()).read_all()
+        at = pc.index_in(keys, value_set=_whole(right.column("key")))
+        new = pc.coalesce(_whole(right.column("row")).take(at), keys)
+        lists = _whole(rows.column("words"))
+        return pa.table({id_col: rows.column(id_col), "w": pa.ListArray.from_arrays(lists.offsets, new.take(lists.values))})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    asked = pull(blocks, table.select(F.col("w").alias("key"), F.col("value").alias("row")))
+    found = blocks.groupBy("block").cogroup(asked.groupBy("to")).applyInArrow(run, f"`{id_col}` {kind}, w array<string>")
+    per = found.groupBy(id_col).agg(F.collect_list("w").alias("_r"))   # one document per group
+    placed = F.transform("_r", lambda r: F.transform(r, lambda w, i: F.struct(i.alias("pos"), w.alias("w"))))
+    together = F.transform(F.sort_array(F.flatten(placed)), lambda p: p["w"])
+    merged = F.when(F.col(id_col).isNull(), F.expr("cast(array() as array<string>)")).when(
+        F.size("_r") == 1, F.element_at("_r", 1)).otherwise(together)
+    return per.select(id_col, merged.alias(out), F.size("_r").alias("_n")).select(
+        id_col, F.explode(F.array_repeat(out, F.col("_n"))).alias(out))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    made = column.combine_chunks()
+    return pa.concat_arrays(made.chunks) if isinstance(made, pa.ChunkedArray) else made
+
+
 def expand_contractions(df: DataFrame, contractions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """T5: (id, text) of the default alphabet in lower case, contracted forms
     replaced word by word; the tokeniser comes after it."""
     t = F.lower(T.keep_chars(T.strip_email(text_col), "default"))
-    words = _words(df, F.split(t, " "), id_col).join(
-        _one_each(contractions, "expansion"), "w", "left")
-    words = words.select(id_col, "pos", F.coalesce("expansion", "w").alias("w"))
-    return _gathered(df, words, id_col, "_w").select(id_col, F.array_join("_w", " ").alias(text_col))
+    table = _one_each(contractions, "expansion").withColumnRenamed("expansion", "value")
+    return _translated(df, F.split(t, " "), table, id_col, "_w").select(id_col, F.array_join("_w", " ").alias(text_col))
 
 
 def remove_stopwords(df: DataFrame, stopwords: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
@@ -52,12 +84,15 @@ def remove_stopwords(df: DataFrame, stopwords: DataFrame, id_col: str = "doc_id"
 
 
 def lemmatize(df: DataFrame, lemmas: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """Noun, then verb, then adjective look-up; unknown forms unchanged."""
-    words = _words(df, F.col(tokens_col), id_col)
+    """Noun, then verb, then adjective look-up; unknown forms unchanged.
+    The look-ups follow each other in the dictionary, so that a document's words
+    meet it once."""
+    table = lemmas.where(F.col("pos").isin("n", "v", "a") & F.col("lemma").isNotNull()).select(F.col("form").alias("w")).distinct()
+    table = table.withColumn("value", F.col("w"))
     for pos in ("n", "v", "a"):
-        known = _one_each(lemmas.where(F.col("pos") == pos), "lemma")
-        words = words.join(known, "w", "left").select(id_col, "pos", F.coalesce("lemma", "w").alias("w"))
-    return _gathered(df, words, id_col, tokens_col)
+        known = _one_each(lemmas.where(F.col("pos") == pos), "lemma").withColumnRenamed("w", "value")
+        table = table.join(known, "value", "left").select("w", F.coalesce("lemma", "value").alias("value"))
+    return _translated(df, F.col(tokens_col), table, id_col, tokens_col)
 
 
 def merge_phrases(df: DataFrame, phrases: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:

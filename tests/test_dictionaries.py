@@ -66,3 +66,20 @@ def test_merging_holds_few_documents(spark):
     assert max(map(len, out)) <= D.MERGED and sum(map(len, out)) == n
     got = [t for b in out for t in b.column("tokens").to_pylist()]
     assert got[:2] == [["kind", "of", "old"], ["kind of", "old"]]
+
+
+def test_words_meet_a_dictionary_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 7)
+    rows = [(i, ["running", "is", "better", f"w{i}"]) for i in range(20)] + [(3, ["mice", "running"]), (None, ["mice"]), (None, ["x"]), (30, [])]
+    toks = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    lemmas = [("running", "n", "run"), ("run", "v", "ran"), ("better", "a", "good"), ("mice", "n", "mouse"), ("mouse", "a", None)]
+    got = D.lemmatize(toks, spark.createDataFrame(lemmas, "form string, pos string, lemma string"))
+    # each word of each document was a row that met the dictionary three times before
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["doc_id"], []).append(r["tokens"])
+    assert found.pop(None) == [[], []] and found.pop(30) == [[]]
+    assert found.pop(3) == [["mouse", "ran", "is", "ran", "good", "w3"]] * 2
+    assert found == {i: [["ran", "is", "good", f"w{i}"]] for i in range(20) if i != 3}
