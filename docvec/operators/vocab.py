@@ -7,12 +7,20 @@ number of tokens) are single values brought to the driver by one action.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docvec.operators.blocks import Block, on_blocks, packed, row_of
 from docvec.operators.ranking import checked_broadcast, global_rank, top_k  # noqa: F401
-from docvec.session import cut_lineage
+from docvec.session import cut_lineage, written
+
+BLOCK_WORDS = 1 << 17   # words of the documents that make their grids together
+GRIDS = 256             # padded grids that a task holds
 
 
 def term_counts(df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id") -> DataFrame:
@@ -146,28 +154,105 @@ def id_grid_long(tok: DataFrame, ids: DataFrame, max_sents: int = 30, max_words:
     )
 
 
-def id_grid(long_grid: DataFrame, max_sents: int = 30, max_words: int = 100,
-            id_col: str = "doc_id") -> DataFrame:
-    """V8 nested form ARRAY<ARRAY<INT>> padded with 0.  The collect is per
-    (doc, sentence) and per document, bounded by max_sents * max_words."""
-    sent = long_grid.groupBy(id_col, "sent_no").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    sent = sent.select(id_col, "sent_no", F.transform("_p", lambda s: s["id"].cast("int")).alias("ids"))
-    sent = sent.select(id_col, "sent_no", F.concat(
-        "ids", F.array_repeat(F.lit(0), F.lit(max_words) - F.size("ids"))).alias("ids"))
-    doc = sent.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("sent_no", "ids"))).alias("_s"))
-
-    # sentence slots that stay empty are zero rows
-    return doc.select(
-        id_col,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(max_sents - 1)),
-            lambda i: F.coalesce(
-                F.try_element_at(F.filter("_s", lambda s: s["sent_no"] == i), F.lit(1))["ids"],
-                F.array_repeat(F.lit(0), max_words),
-            ),
-        ).alias("grid"),
-    )
+def documents(df: DataFrame, sentences: Column, tokenize: Callable[[Column], Column], id_col: str = "doc_id") -> DataFrame:
+    """(id, texts): a row per id with the tokens of each sentence of each of its
+    texts, written: the regex pass runs once, for the counts and for the grid."""
+    t = df.select(id_col, F.transform(sentences, lambda s: tokenize(s)).alias("_t"))
+    return written(t.groupBy(id_col).agg(F.collect_list("_t").alias("texts")))
+
+
+def tokens_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, tokens) of ``documents``; no word lies in two sentences."""
+    return docs.select(id_col, F.flatten(F.flatten("texts")).alias("tokens"))
+
+
+def document_frequency(tokens_df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(term, df) of tokens with a row per id: nothing but terms is shuffled."""
+    return tokens_df.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def on_grid(docs: DataFrame, words: DataFrame, values: list[str], fn: Callable, schema: str, max_sents: int = 30,
+            max_words: int = 100, id_col: str = "doc_id") -> DataFrame:
+    """V8 as ``id_grid_long`` of ``documents``, where they lie: ``fn(block, doc,
+    sent, pos, place)`` gets a block's kept tokens (row, sentence, compacted
+    position, word) in their order and makes (id, ``schema``).  ``words`` (word,
+    values...) is what a kept token must have; a word travels once to each block."""
+    kept = F.transform("texts", lambda t: F.slice(t, 1, max_sents))
+    rows = docs.select(id_col, F.flatten(F.flatten(kept)).alias("words"),
+                       F.flatten(F.transform(kept, lambda t: F.transform(t, F.size))).alias("lens"), F.transform(kept, F.size).alias("parts"))
+
+    def run(block: Block) -> pa.Table:
+        place = block.lists("words")[1].astype(np.int64)
+        cuts, lens = block.lists("lens")
+        texts, parts = block.lists("parts")
+        lens, parts = lens.astype(np.int64), parts.astype(np.int64)
+        number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)   # of a sentence in its text
+        doc = np.repeat(np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), lens)
+        sent = np.repeat(number, lens)
+        pos = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+        order = np.flatnonzero(block.known[place])
+        order = order[np.lexsort((pos[order], sent[order], doc[order]))]   # texts of one id are laid over each other
+        doc, sent, place = doc[order], sent[order], place[order]
+        first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(sent, prepend=-1) != 0))
+        pos = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+        few = pos < max_words
+        return fn(block, doc[few], sent[few], pos[few], place[few])
+
+    table = words.select(F.col("word").alias("key"), row_of(F.array(*[F.col(v).cast("double") for v in values])).alias("row"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return on_blocks(packed(rows, "words", BLOCK_WORDS), table, len(values), run, f"`{id_col}` {kind}, {schema}")
+
+
+def grid_ids(docs: DataFrame, ids: DataFrame, max_sents: int = 30, max_words: int = 100, id_col: str = "doc_id") -> DataFrame:
+    """V8 long form of ``documents``: (id, sent_no, pos, word, id)."""
+    def rows(block: Block, doc, sent, pos, place) -> pa.Table:
+        return pa.table({id_col: block.table.column(id_col).take(pa.array(doc)), "sent_no": pa.array(sent), "pos": pa.array(pos),
+                         "word": block.keys.take(pa.array(place)), "id": pa.array(block.params[place, 0].astype(np.int64))})
+
+    return on_grid(docs, ids, ["id"], rows, "sent_no long, pos long, word string, id long", max_sents, max_words, id_col)
+
+
+def grid_features(docs: DataFrame, words: DataFrame, norm: str | None = "l2", max_sents: int = 30, max_words: int = 100,
+                  id_col: str = "doc_id") -> DataFrame:
+    """V9: (id, sent_no, pos, w) of every kept token: its count among the
+    document's kept tokens times ``idf`` of ``words`` (word, idf), over their L2 norm."""
+    def rows(block: Block, doc, sent, pos, place) -> pa.Table:
+        pair, back, n = np.unique(doc * (len(block.keys) + 1) + place, return_inverse=True, return_counts=True)
+        of, word = np.divmod(pair, len(block.keys) + 1)
+        w = n * block.params[word, 0]
+        if norm == "l2":
+            length = np.sqrt(np.bincount(of, w * w, minlength=len(block.table)))[of]
+            w = np.divide(w, length, out=np.zeros(len(w)), where=length > 0)
+        return pa.table({id_col: block.table.column(id_col).take(pa.array(doc)), "sent_no": pa.array(sent), "pos": pa.array(pos),
+                         "w": pa.array(w[back].astype(np.float64))})
+
+    return on_grid(docs, words, ["idf"], rows, "sent_no long, pos long, w double", max_sents, max_words, id_col)
+
+
+def id_grid(docs: DataFrame, ids: DataFrame, max_sents: int = 30, max_words: int = 100, id_col: str = "doc_id") -> DataFrame:
+    """V8 nested form ARRAY<ARRAY<INT>> of ``documents``, padded with 0; a
+    document without a known word has no row."""
+    def rows(block: Block, doc, sent, pos, place) -> pa.Table:
+        some, first = np.unique(doc, return_index=True)
+        offsets = pa.array(np.append(first, len(doc)), pa.int32())
+        cells = {"at": sent * max_words + pos, "ids": block.params[place, 0]}
+        return pa.table({id_col: block.table.column(id_col).take(pa.array(some))} | {
+            c: pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for c, v in cells.items()})
+
+    def padded(batches):
+        for batch in batches:
+            for a in range(0, len(batch), GRIDS):
+                part = batch.slice(a, GRIDS)
+                at, ids_ = part.column(1), part.column(2)
+                grid = np.zeros((len(part), max_sents * max_words), np.int32)
+                of = np.repeat(np.arange(len(part)), at.value_lengths().to_numpy(zero_copy_only=False))
+                grid[of, at.flatten().to_numpy()] = ids_.flatten().to_numpy()
+                lines = pa.ListArray.from_arrays(pa.array(np.arange(len(part) * max_sents + 1) * max_words, pa.int32()), pa.array(grid.ravel()))
+                nested = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * max_sents, pa.int32()), lines)
+                yield pa.RecordBatch.from_arrays([part.column(0), nested], names=[id_col, "grid"])
+
+    found = on_grid(docs, ids, ["id"], rows, "at array<int>, ids array<int>", max_sents, max_words, id_col)
+    return found.mapInArrow(padded, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, grid array<array<int>>")
 
 
 def fixed_length(ids: DataFrame, ids_col: str, n: int = 4096, id_col: str = "doc_id") -> DataFrame:

@@ -31,29 +31,27 @@ def t16_dot_sentences(spark, sf):
 
 def v8_nested_grid(spark, sf):
     """The padded grid, checked by a sum that weighs each cell by its place."""
-    g = vocab.id_grid(Q._grid(spark, sf), Q.MAX_SENTS, Q.MAX_WORDS)
+    docs = Q._grid_docs(spark, sf)
+    g = vocab.id_grid(docs, Q._grid_ids(docs), Q.MAX_SENTS, Q.MAX_WORDS)
     cells = g.select("doc_id", F.flatten("grid").alias("c"))
     weighed = F.aggregate(F.transform("c", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return cells.select("doc_id", F.size("c").cast("long").alias("n_cells"), weighed.alias("weighed"))
 
 
-def _features(spark, sf, kind: str) -> DataFrame:
-    """Token features of the kept grid tokens: counts (bow) or counts over
-    their length (tf)."""
-    g = Q._grid(spark, sf)
-    kept = g.groupBy("doc_id", F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    w = vocab.tfidf(kept, None, norm=None if kind == "bow" else "l2").withColumnRenamed("term", "word")
-    return g.join(w, ["doc_id", "word"]).select(
-        "doc_id", F.col("sent_no").cast("long").alias("sent_no"), F.col("pos").cast("long").alias("pos"),
-        F.round("w", 6).alias("value"))
+def _features(spark, sf, norm: str | None) -> DataFrame:
+    """Token features of the kept grid tokens: counts, or counts over their
+    length (norm l2)."""
+    docs = Q._grid_docs(spark, sf)
+    words = vocab.tokens_of(docs).select(F.explode("tokens").alias("term")).distinct().withColumn("idf", F.lit(1.0))
+    return Q._features(docs, words, norm)
 
 
 def v9_features_bow(spark, sf):
-    return _features(spark, sf, "bow")
+    return _features(spark, sf, None)
 
 
 def v9_features_tf(spark, sf):
-    return _features(spark, sf, "tf")
+    return _features(spark, sf, "l2")
 
 
 # ---------------------------------------------------------------- vectors

@@ -89,3 +89,42 @@ def test_null_labels_are_no_class_and_keep_their_rows(spark):
     hot = splits.one_hot(indexed, "target")
     assert {r["doc_id"]: r["onehot"] for r in hot.collect()} == {1: [0, 1], 2: [0, 0], 3: [1, 0], 4: [0, 1]}
     assert {r["doc_id"]: r["target"] for r in from_table(df, "doc_id", "text", "lang").collect()} == {1: 1, 2: None, 3: 0, 4: 1}
+
+
+def test_grid_in_blocks_equals_the_long_form(spark, monkeypatch):
+    from docvec.functions import text as T
+
+    monkeypatch.setattr(vocab, "BLOCK_WORDS", 9)
+    monkeypatch.setattr(vocab, "GRIDS", 2)
+    rows = [(1, "One two one. Two two three four! Five six"), (2, None), (3, "!!! ... One"), (4, "six. six. six. seven seven"), (5, "nobody"),
+            (7, "One two. three"), (7, "One two. three"), (None, "one six"), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = vocab.documents(d, T.sentences("text"), T.preprocess)
+    assert docs.count() == 7 and sorted(len(r["texts"]) for r in docs.collect()) == [1, 1, 1, 1, 1, 2, 2]
+    toks = d.select("doc_id", T.preprocess("text").alias("tokens"))
+    freq = vocab.word_frequency(vocab.tokens_of(docs))
+    assert sorted(freq.select("word", "cf").collect()) == sorted(vocab.word_frequency(toks).select("word", "cf").collect())
+    ids = vocab.word_ids(freq).where("word <> 'nobody'")
+    tok = vocab.sentence_tokens(d.select("doc_id", T.sentences("text").alias("s")), "s", T.preprocess)
+    long_form = vocab.id_grid_long(tok, ids, 3, 2)
+    key = lambda r: tuple(str(x) for x in r)
+    columns = ["doc_id", "sent_no", "pos", "word", "id"]
+    got = vocab.grid_ids(docs, ids, 3, 2)
+    assert sorted(map(tuple, got.select(columns).collect()), key=key) == sorted(map(tuple, long_form.select(columns).collect()), key=key)
+    # every token was a row that was sorted within its sentence before
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+    idf = vocab.idf_table(vocab.document_frequency(vocab.tokens_of(docs)), len(rows))
+    assert sorted(idf.collect()) == sorted(vocab.idf_table(vocab.term_stats(vocab.term_counts(toks)), len(rows)).collect())
+    known = long_form.where("doc_id is not null")
+    kept = known.groupBy("doc_id", F.col("word").alias("term")).count().withColumnRenamed("count", "n")
+    w = vocab.tfidf(kept, idf).withColumnRenamed("term", "word")
+    want = {(r["doc_id"], r["sent_no"], r["pos"]): r["w"] for r in known.join(w, ["doc_id", "word"]).collect()}
+    words = ids.join(idf.withColumnRenamed("term", "word"), "word")
+    found = vocab.grid_features(docs.where("doc_id is not null"), words, "l2", 3, 2).collect()
+    assert len(found) == len(want) and all(abs(want[r["doc_id"], r["sent_no"], r["pos"]] - r["w"]) < 1e-12 for r in found)
+
+    cells = {}
+    for r in long_form.collect():
+        cells.setdefault(r["doc_id"], [[0, 0] for _ in range(3)])[r["sent_no"]][r["pos"]] = r["id"]
+    assert {r["doc_id"]: r["grid"] for r in vocab.id_grid(docs, ids, 3, 2).collect()} == cells
