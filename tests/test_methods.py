@@ -230,12 +230,13 @@ def test_partitioned_vectors_work_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(psif, "BLOCK_WORDS", 5)
     rng = np.random.default_rng(3)
     stats = [(w, rng.standard_normal(3).tolist(), rng.standard_normal(2).tolist(), 1.5, 0.25) for w in "aabcd"]   # a twice
+    stats.append(("x", None, [1.0, 2.0], 1.0, 1.0))   # a null embedding: an error before
     counts = [(doc, w, n) for doc in (1, 2, 3, None) for n, w in enumerate("abcdx", 1) if doc != 2 or w == "x"]
     ws = spark.createDataFrame(stats, "word string, vec array<double>, coefs array<double>, idf double, weight double")
     c = spark.createDataFrame(counts, "doc_id long, word string, n long")
     made = psif.partitioned_doc_vectors(c, ws)
     assert "keys" in made._jdf.queryExecution().optimizedPlan().toString()   # a row per document and word before
-    want = sum(n * 1.5 * 0.25 * np.outer(k, v) for _, w, n in counts[:5] for s, v, k, _, _ in stats if s == w).ravel()
+    want = sum(n * 1.5 * 0.25 * np.outer(k, v) for _, w, n in counts[:5] for s, v, k, _, _ in stats if s == w and v).ravel()
     got = {r["doc_id"]: r["vec"] for r in made.collect()}
     assert set(got) == {1, 3, None}
     for v in got.values():
