@@ -68,6 +68,29 @@ def test_doc2vec_blocks_are_bounded_and_follow_the_input(corpus, monkeypatch):
     assert 1.5 * len(sizes[0]) < len(sizes[1]) < 2.5 * len(sizes[0])
 
 
+def test_doc2vec_blocks_fetch_rows_together(corpus, monkeypatch):
+    """A group gets each row once, and its size does not change what is learned."""
+    from docvec.operators import doc2vec as D
+
+    spark, got = corpus.sparkSession, []
+    small = corpus.where("doc_id < 30")
+    for words in (4000, 1 << 21):
+        monkeypatch.setattr(D, "GROUP_WORDS", words)
+        m = Doc2Vec(size=4, epochs=1, dm=False, block_words=1000, pool=500).fit(small)
+        got.append({r["key"]: np.frombuffer(r["row"]) for r in m.params.collect()})
+    assert got[0].keys() == got[1].keys() and all(np.allclose(got[0][k], got[1][k], atol=1e-12) for k in got[0])
+    # blocks of a group that share their words send them once
+    blocks = spark.createDataFrame([(j, bytearray(), [0, 1]) for j in range(64)], "block long, rows binary, keys array<bigint>")
+    m = Doc2Vec(size=4, negative=0, block_words=1 << 15)
+    grouped = m._grouped(blocks)
+    groups = grouped.select("group").distinct().count()
+    assert groups <= spark.sparkContext.defaultParallelism < 64
+    params = spark.createDataFrame([(k, bytearray(8 * 8)) for k in (0, 1)], "key long, row binary")
+    seen = m._on_blocks(grouped, params, lambda block, *rest: block.number, lambda _, keys: D.pa.table(
+        {"n": D.pa.array([len(keys)], D.pa.int64())}), "n long")
+    assert [r["n"] for r in seen.collect()] == [2] * groups
+
+
 def test_doc2vec_negatives_follow_the_corpus_counts(corpus):
     m = Doc2Vec(size=4, epochs=0, pool=20_000).fit(corpus)
     one = corpus.sparkSession.createDataFrame([(5, bytearray(), [0])], "block long, rows binary, keys array<bigint>")
