@@ -141,3 +141,72 @@ def test_added_rows_across_batches(spark):
     for k in {k for k, _ in data}:
         assert np.array_equal(got[k], sum(v for key, v in data if key == k))
     assert np.array_equal(B.total(df, 3, lambda m: m.sum(axis=0), 3), sum(v for _, v in data))
+
+
+def test_faded_topics_leave_the_products(monkeypatch):
+    """Same mixtures as with every topic in every step, from fewer numbers."""
+    from docvec.operators import lda
+
+    rng = np.random.default_rng(5)
+    k, words, docs = 100, 400, 40
+    beta = rng.dirichlet(np.full(words, 0.02), k).T + 1e-9
+    place = np.concatenate([rng.choice(words, 60, replace=False) for _ in range(docs)])
+    offsets, counts = np.arange(docs + 1) * 60, rng.integers(1, 9, docs * 60).astype(float)
+    taken = []
+    real = lda.digamma
+    monkeypatch.setattr(lda, "GROUP_NUMBERS", 1)  # a document each
+    monkeypatch.setattr(lda, "digamma", lambda x: taken.append(np.size(x)) or real(x))
+    gamma, theta = lda.mixtures(offsets, place, counts, beta, 1 / k, 100, 1e-4)
+
+    steps = 0
+    for d in range(docs):
+        b, c, g = beta[place[offsets[d]:offsets[d + 1]]], counts[offsets[d]:offsets[d + 1]], np.ones(k)
+        for _ in range(100):
+            t = np.exp(real(g) - real(g.sum()))
+            new = 1 / k + t * ((c / (b @ t + 1e-100)) @ b)
+            change, g, steps = np.abs(new - g).mean(), new, steps + 1
+            if change < 1e-4:
+                break
+        np.testing.assert_allclose(gamma[d], g, rtol=1e-8, atol=1e-10)
+        np.testing.assert_allclose(theta[d], np.exp(real(g) - real(g.sum())), rtol=1e-6, atol=1e-12)
+    assert sum(taken) < 0.8 * steps * k, sum(taken) / steps / k
+
+
+def test_terms_that_need_a_faded_topic_keep_it():
+    from docvec.operators import lda
+
+    k = 4
+    beta = np.array([[1.0, 1e-300, 1e-300, 1e-300]] * 3 + [[1e-300, 1.0, 1e-300, 1e-300]])
+    gamma, _ = lda.mixtures(np.array([0, 4]), np.arange(4), np.array([900.0, 900.0, 900.0, 1e-3]), beta, 0.001, 30, 1e-12)
+    g = np.ones(k)
+    for _ in range(30):
+        t = np.exp(lda.digamma(g) - lda.digamma(g.sum()))
+        new = 0.001 + t * ((np.array([900.0, 900.0, 900.0, 1e-3]) / (beta @ t + 1e-100)) @ beta)
+        change, g = np.abs(new - g).mean(), new
+        if change < 1e-12:
+            break
+    np.testing.assert_allclose(gamma[0], g, rtol=1e-9)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from docvec.session import FREE_SHUFFLES, dropped, written
+
+    def held():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        return {p for d in env.blockManager().diskBlockManager().localDirs() for p in Path(str(d)).rglob("shuffle_*.data")}
+
+    before = held()
+    out = written(spark.range(10000).withColumn("k", F.col("id") % 97).groupBy("k").count())
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert out.count() == 97
+    assert spark.conf.get(FREE_SHUFFLES, "false") != "true"
+    dropped(out)
