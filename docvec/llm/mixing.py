@@ -44,6 +44,7 @@ SHARD_SLOTS = 4096    # block slots of a shard, on average
 BUCKET_ROWS = 256     # rows, about, whose offsets one window sums
 GROUP_SHARDS = 256    # shards among which one draw deals
 FRAME_SLOTS = 1 << 17 # slots that a task makes at a time
+TASK_SLOTS = 1 << 18  # slots that a task makes in all, about
 
 
 # -- pseudorandom permutations and draws --------------------------------------------
@@ -187,7 +188,8 @@ def _slots(sources: DataFrame, seed: int) -> DataFrame:
     wanted = sources.where("slots > 0").select("sid", "blocks", "slots", "key")
     counts = wanted.mapInPandas(
         dealt, "sid long, blocks long, key long, group long, shards long, first long, n long").where("n > 0")
-    return counts.repartition("sid", "group").mapInPandas(
+    # few short rows stand for very many slots: without a number, Spark would join them in one task by their size
+    return counts.repartition(max(1, -(-total // TASK_SLOTS)), "sid", "group").mapInPandas(
         drawn, "sid long, shard long, slot long, pass long, block long")
 
 

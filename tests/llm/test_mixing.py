@@ -108,3 +108,17 @@ def test_rows_of_all_kinds(spark):
     empty = spark.createDataFrame([], docs.schema)
     none = mixing.plan(empty)
     assert mixing.taken(none).count() == 0 and mixing.mixed_documents(empty, none).count() == 0
+
+
+def test_slots_are_made_in_many_tasks(spark, monkeypatch):
+    """A few short rows say how many slots there are: their size must not put all slots into one task."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 8)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 2)
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 64, raising=False)
+    docs = spark.createDataFrame([(i, "a b c d " * 16, f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    slots = mixing.plan(docs).slots.withColumn("task", F.spark_partition_id())
+    # counted where they lie
+    per = [r["n"] for r in slots.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(per) >= 290 and len(per) >= 3 and max(per) < 0.7 * sum(per)
