@@ -11,12 +11,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.operators.blocks import Block, on_blocks, packed, row_of
+from docvec.operators.blocks import Block, narrow_row, on_blocks, packed
+from docvec.operators.vocab import bags_of
 from docvec.operators.wordvec import BLOCK_WORDS, scale
-from docvec.session import cut_lineage
+from docvec.session import written
 
 # The pooling epsilon of the reference layer.
 ATTENTION_EPS = 1e-7
+TOGETHER = 64   # blocks of bags that get their words' vectors together
 
 
 def combine(a: Column, b: Column, op: str) -> Column:
@@ -58,20 +60,23 @@ def attention_pool_identity(df: DataFrame, keys: list, dim: int, eps: float = AT
 
 
 def bag_attention_pool(counts: DataFrame, scored_words: DataFrame, keys: list, eps: float = ATTENTION_EPS,
-                       word_col: str = "word", unknown: float = 0.0) -> DataFrame:
+                       word_col: str = "word", unknown: float = 0.0, dim: int | None = None) -> DataFrame:
     """E17 over bags of words: the score depends on the word vector only, so
     it is computed once per distinct word (``scored_words(word, vec, s)``);
     documents pool with weight n * exp(s).  Unknown words (no vector) count
     with s = ``unknown`` in the normaliser only.  Bags work in blocks: a word's
-    vector travels once to each block that has it, not once per document."""
-    table = cut_lineage(scored_words.where(F.col("vec").isNotNull()).select(F.col(word_col).alias("key"), "vec", F.exp("s").alias("a")))
-    first = table.select(F.size("vec")).first()
-    if first is None:
-        return counts.select(*keys).distinct().withColumn("vec", F.lit(None).cast("array<double>"))
-    d = first[0]
-    # one bag per group, at most its distinct words
-    bags = counts.groupBy(*keys).agg(F.collect_list(F.struct(F.col(word_col).alias("w"), F.col("n").cast("double").alias("n"))).alias("_b"))
-    bags = bags.select(*keys, F.col("_b.w").alias("words"), F.col("_b.n").alias("n"))
+    vector travels once to the blocks that work together, not once per document.
+    ``counts``: (keys, word, n), or a row per key as ``vocab.bags`` makes them.
+    With ``dim`` the words are not read for it, and go straight to the blocks."""
+    table = (scored_words.where(F.col("vec").isNotNull()).select(F.col(word_col).alias("key"), "vec", F.exp("s").alias("a")))
+    d = dim
+    if d is None:
+        table = written(table)
+        first = table.select(F.size("vec")).first()
+        if first is None:
+            return written(counts.select(*keys).distinct().withColumn("vec", F.lit(None).cast("array<double>")))
+        d = first[0]
+    bags = counts if "words" in counts.columns else bags_of(counts, keys, word_col)
     kinds = [(f.name, f.dataType.simpleString()) for f in bags.schema.fields if f.name in keys]
 
     def run(block: Block) -> pa.Table:
@@ -82,16 +87,19 @@ def bag_attention_pool(counts: DataFrame, scored_words: DataFrame, keys: list, e
         vec = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * d, pa.int32()), pa.array(out.ravel()))
         return pa.table({name: block.table.column(name) for name, _ in kinds} | {"vec": vec})
 
-    params = table.select("key", row_of(F.concat(scale(F.col("vec"), F.col("a")), F.array("a"))).alias("row"))
+    # vectors travel as they are, mostly floats, beside their weights
+    params = table.select("key", narrow_row(F.concat(F.col("vec").cast("array<double>"), F.array("a"))).alias("row"))
     return on_blocks(packed(bags, "words", BLOCK_WORDS), params, d + 1, run,
-                     "".join(f"`{name}` {kind}, " for name, kind in kinds) + "vec array<double>")
+                     "".join(f"`{name}` {kind}, " for name, kind in kinds) + "vec array<double>", TOGETHER,
+                     lambda rows: np.c_[rows[:, :d] * rows[:, d:], rows[:, d]])
 
 
-def word_attention_pool(counts: DataFrame, wv: DataFrame, keys: list, W, b, u, eps: float = ATTENTION_EPS) -> DataFrame:
+def word_attention_pool(counts: DataFrame, wv: DataFrame, keys: list, W, b, u, eps: float = ATTENTION_EPS,
+                        dim: int | None = None) -> DataFrame:
     """E17 as ``attention_pool`` over the words of each key, (keys, word, n) and
     (word, vec): a word is scored once, unknown words as zero vectors."""
     scored = wv.where(F.col("vec").isNotNull()).withColumn("s", attention_scores(W, b, u)(F.col("vec")))
-    return bag_attention_pool(counts, scored, keys, eps, unknown=float(np.tanh(np.asarray(b, np.float64)) @ np.asarray(u, np.float64)))
+    return bag_attention_pool(counts, scored, keys, eps, unknown=float(np.tanh(np.asarray(b, np.float64)) @ np.asarray(u, np.float64)), dim=dim)
 
 
 def attention_scores(W: np.ndarray, b: np.ndarray, u: np.ndarray):
