@@ -75,3 +75,26 @@ def test_bags_of_rows_that_repeat_an_id(spark):
     assert got == {1: {"a": 2, "b": 2, "c": 1}, None: {"a": 2, "d": 1}}
     assert {tuple(r) for r in vocab.counts_of(made).collect()} == {(i, w, n) for i, b in got.items() for w, n in b.items()}
     assert sorted(r["word"] for r in vocab.words_of(made).collect()) == ["a", "b", "c", "d"]
+
+
+def test_topics_of_blocks_together(spark, monkeypatch):
+    """Rows of a term are added up in the task, whatever the blocks that share it; the bound's rows pass through."""
+    from docvec.operators import lda
+
+    rng = np.random.default_rng(1)
+    docs = [(i, sorted(rng.choice(30, 5, replace=False).tolist()), rng.integers(1, 4, 5).astype(float).tolist()) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, i array<bigint>, v array<double>").repartition(2, "doc_id").cache()
+    monkeypatch.setattr(lda, "LEAST_ENTRIES", 40)
+    monkeypatch.setattr(lda, "BLOCK_NUMBERS", 40)
+    found = []
+    for together in (1, 3):
+        monkeypatch.setattr(lda, "TOGETHER", together, raising=False)
+        m = lda.BatchLDA(3, 2, evaluate_every=1, perp_tol=0.0).fit(df)
+        topics = {r["key"]: np.frombuffer(r["row"]) for r in m.topics.collect()}
+        found.append((topics, m.perplexity_, {r["doc_id"]: r["vec"] for r in m.transform(df).collect()}))
+    (a, p, x), (b, q, y) = found
+    assert a.keys() == b.keys() and len(a) == 30 and x.keys() == y.keys() and len(x) == 300
+    for k in a:
+        np.testing.assert_allclose(a[k], b[k], rtol=1e-9)
+    np.testing.assert_allclose(p, q, rtol=1e-9)
+    np.testing.assert_allclose([x[i] for i in x], [y[i] for i in x], rtol=1e-9)
