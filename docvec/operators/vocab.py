@@ -202,8 +202,9 @@ def id_grid_long(tok: DataFrame, ids: DataFrame, max_sents: int = 30, max_words:
 
 def documents(df: DataFrame, sentences: Column, tokenize: Callable[[Column], Column], id_col: str = "doc_id") -> DataFrame:
     """(id, texts): a row per id with the tokens of each sentence of each of its
-    texts, written: the regex pass runs once, for the counts and for the grid."""
-    t = df.select(id_col, F.transform(sentences, lambda s: tokenize(s)).alias("_t"))
+    texts, written: the regex pass runs once, for the counts and for the grid.
+    Texts are dealt out by id, not their tokens, which take more room."""
+    t = df.repartition(id_col).select(id_col, F.transform(sentences, lambda s: tokenize(s)).alias("_t"))
     return written(t.groupBy(id_col).agg(F.collect_list("_t").alias("texts")))
 
 

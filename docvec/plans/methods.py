@@ -18,8 +18,9 @@ def _corpus(spark, sf):
 
 def _wv(spark, sf):
     from docvec.functions.text import preprocess
-    words = load(spark, sf, "documents").select(F.explode(preprocess("text")).alias("word"))
-    return written(wordvec.derived_word_vectors(words, load(spark, sf, "embeddings")))
+    # explode would filter on the tokens first, and so make them twice
+    words = load(spark, sf, "documents").select(F.posexplode_outer(preprocess("text")).alias("_pos", "word")).where("_pos is not null")
+    return wordvec.derived_word_vectors(words, load(spark, sf, "embeddings"))
 
 
 def _dim(spark, sf):
@@ -90,7 +91,7 @@ def m_han(spark, sf):
     """Hierarchical attention encoder, early stop, patience 5."""
     from docvec.operators.han import HierarchicalAttention
     c = _corpus(spark, sf)
-    return _long(HierarchicalAttention(_wv(spark, sf), _dim(spark, sf)).fit(c).transform(c))
+    return _long(HierarchicalAttention(written(_wv(spark, sf)), _dim(spark, sf)).fit(c).transform(c))
 
 
 def m_transformer(spark, sf):
@@ -113,7 +114,7 @@ def m_han_features(spark, sf):
     """HAN with tf-idf token features merged by 'add', min_delta 0.001."""
     from docvec.operators.han import HierarchicalAttention
     c = _corpus(spark, sf)
-    m = HierarchicalAttention(_wv(spark, sf), _dim(spark, sf), features="tfidf", operation="add", min_delta=0.001)
+    m = HierarchicalAttention(written(_wv(spark, sf)), _dim(spark, sf), features="tfidf", operation="add", min_delta=0.001)
     return _long(m.fit(c).transform(c))
 
 
